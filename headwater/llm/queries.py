@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from headwater.llm.common import table
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,6 +25,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
 }
 

@@ -24,9 +24,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.maxscore import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op10_maxscore": op10_maxscore,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_maxscore": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS t
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        e AS (SELECT r, vec_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM v),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.k = c.k AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0 GROUP BY q.r, c.r, q.vec_id, c.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5""",
+}

@@ -30,7 +30,14 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op9_url_filter": op9_url_filter,
     "op10_maxscore": op10_maxscore,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,

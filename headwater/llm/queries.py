@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from headwater.llm.common import table
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.quality import classify, may_learn
+
+    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (~may_learn(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.decontaminate import leaked_pairs
+
+    return leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headwater.llm.simhash import near_duplicates
 
@@ -37,6 +50,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_maxscore": op10_maxscore,
     "op6_simhash": op6_simhash,

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,10 @@ BLOCK = 1 << 19
 SENTENCE_CUT, PLAIN_CUT = 4, 32
 #: Plain cuts are offered every so many tokens in stretches without a sentence end.
 GRID = 64
-#: Entries of the two word caches of a Python worker; a full cache is emptied.
+#: Words after which the cache of a Python worker becomes the old one, which serves until the next such time.
 CACHE = 400_000
-#: Characters after which a batch of documents is tokenised.
-CHARS = 1_000_000
+#: Bytes of text after which a batch of documents is tokenised.
+CHARS = 4_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -46,10 +48,13 @@ TAIL = ".,!?*$%&#|;:\"'"
 class WordTokenizer:
     """Token ids of whole texts through a cache of words.
 
-    Exact for tokenizers that drop white space and never merge across it: a
-    text's ids are then the ids of its blank-separated words, one after the
-    other.  Words that are plain letters, with or without a tail of
-    punctuation, are encoded in groups, cut apart at the end-of-word tokens.
+    Exact for tokenizers that fold case, drop white space and never merge
+    across it: a text's ids are then the ids of its blank-separated words, one
+    after the other.  Arrow splits the texts of a batch and numbers their
+    distinct words; only those are looked up, and only new ones encoded.  A full
+    stop or comma after a letter or digit is a word of its own, which leaves
+    fewer distinct words; texts with adjacent punctuation or unusual characters
+    are not cut there, and texts that may hold a special token are encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -64,56 +69,99 @@ class WordTokenizer:
         for token, i in vocab.items():
             self.ends_word[i] = token.endswith("</w>")
             self.ends_sentence[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
-        self.cache, self.words, self.stems = cache, {"": b""}, {}
+        self.cache, self.young, self.old = cache, {}, {}
+        self.mark = np.array([not (chr(b).isalnum() or b == 32 or 9 <= b <= 13) for b in range(128)] + [False] * 128)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def learn_stems(self, stems: list[str]) -> None:
-        for at in range(0, len(stems), 64):
-            group = stems[at : at + 64]
+    def learn(self, letters: list[str]) -> None:
+        """Encode words of plain letters in groups, cut apart at the end-of-word tokens."""
+        for at in range(0, len(letters), 64):
+            group = letters[at : at + 64]
             ids = np.array(self.encoder.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint16)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
                 raw, k = ids.tobytes(), 0
-                for stem, end in zip(group, ends.tolist()):
-                    self.stems[stem] = raw[2 * k : 2 * end]
+                for word, end in zip(group, (2 * ends).tolist()):
+                    self.young[word] = raw[k:end]
                     k = end
             else:
-                for stem in group:
-                    self.stems[stem] = self.plain(stem)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > self.cache:
-            known.clear()
-            known[""] = b""
-            new = set().union(*split).difference(known)
-        if len(self.stems) > self.cache:
-            self.stems.clear()
-        parts, wanted = [], set()
+                for word in group:
+                    self.young[word] = self.plain(word)
+
+    def known(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > self.cache:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        letters, ended = set(), []
         for word in new:
-            stem = word.rstrip(TAIL)
-            if stem.isalpha() and stem.lower().isalpha():
-                tail = word[len(stem) :]
-                parts.append((word, stem, tail))
-                wanted.add(stem)
-                if tail:
-                    wanted.add(tail)
+            if word in old:
+                young[word] = old[word]
+            elif word.isalpha():
+                letters.add(word)
             else:
-                known[word] = self.plain(word)
-        wanted.difference_update(self.stems)
-        self.learn_stems([w for w in wanted if w.isalpha()])
-        for tail in wanted:
-            if not tail.isalpha():
-                self.stems[tail] = self.plain(tail)
-        # a tail that a contraction could take the first letter from is never cut off: it is punctuation only
-        for word, stem, tail in parts:
-            known[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+                stem = word.rstrip(TAIL)
+                tail = word[len(stem) :]
+                if tail and stem.isalpha():
+                    ended.append((word, stem, tail))
+                    if stem in old:
+                        young[stem] = old[stem]
+                    elif stem not in young:
+                        letters.add(stem)
+                    if tail not in young:
+                        young[tail] = self.plain(tail)
+                else:
+                    young[word] = self.plain(word)
+        self.learn(list(letters))
+        for word, stem, tail in ended:
+            young[word] = young[stem] + young[tail]
+        return [young[w] for w in words]
+
+    def cut_at_stops(self, texts: pa.Array) -> pa.Array:
+        """Texts with a blank before each full stop and comma, where that leaves their tokens as they are."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        if not len(raw):
+            return texts
+        mark = self.mark[raw]
+        after = np.append(raw[1:], 0)
+        odd = (raw == 0xC2) | (raw >= 0xC4) | ((raw == 0xC3) & ((after == 0x97) | (after == 0xB7)))
+        odd[:-1] |= mark[1:] & mark[:-1]
+        bad = np.zeros(len(texts), bool)
+        at = np.searchsorted(offsets - offsets[0], np.flatnonzero(odd), "right") - 1
+        bad[at] = True
+        cut = pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,")
+        return pc.if_else(pa.array(bad), texts, cut)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (none is null) as little-endian 16-bit numbers."""
+        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # a copy from offset 0: kernels misread slices
+        whole = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        folded = pc.replace_substring(self.cut_at_stops(pc.ascii_lower(texts)), "\n", " ")
+        split = pc.split_pattern(folded, " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self.known(coded.dictionary.to_pylist())
+        size = np.array([len(x) // 2 for x in ids], np.int64)
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        code = coded.indices.to_numpy()
+        each = size[code]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(start[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
+        edges = (2 * np.concatenate([[0], ends])[bounds]).tolist()
+        found = [out[a:b] for a, b in zip(edges, edges[1:])]
+        for i in whole.tolist():
+            found[i] = self.plain(texts[i].as_py())
+        return found
+
+
+@lru_cache(2)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker, which keep its cache warm."""
+    return WordTokenizer(path)
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +206,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, max_len: int, e
 
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 40
-    words = WordTokenizer(path)
+    words = worker_tokenizer(path)
     end = np.array([end_id], np.uint16).tobytes()
     stream: list[tuple] = []  # doc_id, ids from its first open token on, tokens before those, tokens in all
     held, sequence = 0, 0
@@ -197,15 +245,12 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, max_len: int, e
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
 
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+        filled = np.cumsum(pc.binary_length(texts).to_numpy())
         lo = 0
         while lo < len(doc_ids):
-            some, chars, hi = [], 0, lo
-            while hi < len(doc_ids) and chars < CHARS:
-                some.append(texts[hi].as_py() or "")
-                chars += len(some[-1])
-                hi += 1
-            for doc_id, raw in zip(doc_ids[lo:hi], words.encode(some)):
+            hi = max(lo + 1, int(np.searchsorted(filled, (filled[lo - 1] if lo else 0) + CHARS, "right")))
+            for doc_id, raw in zip(doc_ids[lo:hi], words.encode(texts.slice(lo, hi - lo))):
                 raw += end
                 stream.append((doc_id, raw, 0, len(raw) // 2))
                 held += len(raw) // 2

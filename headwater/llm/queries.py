@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from headwater.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.linededup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headwater.llm.quality import classify, may_learn
 
@@ -50,6 +56,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op9_url_filter": op9_url_filter,
@@ -58,7 +65,30 @@ QUERIES = {
     "op7_packing": op7_packing,
 }
 
+#: Lines of documents without their repeated runs: gone(doc_id, line) and l(doc_id, line, x).
+LINES_SQL = """
+        l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+            FROM {documents} WHERE text IS NOT NULL),
+        t AS (SELECT *, trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS plain FROM l),
+        c AS (SELECT doc_id, line, x, length(plain) - length(replace(plain, ' ', '')) + 1 AS words FROM t WHERE plain <> ''),
+        b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before FROM c),
+        w AS (
+            SELECT doc_id, line, list(x) OVER r AS run, max(line) OVER r AS stop, sum(words) OVER r AS held
+            FROM b WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        f AS (SELECT *, first_value(doc_id) OVER o AS d1, first_value(stop) OVER o AS s1 FROM w WHERE held >= 50 WINDOW o AS (PARTITION BY run ORDER BY doc_id, line)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(line, stop + 1)) AS line FROM f WHERE doc_id <> d1 OR line > s1)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH {LINES_SQL.format(documents="documents")}
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+               coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN (
+            SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.line) FILTER (gone.line IS NULL) AS text,
+                   count(*) AS n_lines, count(gone.line) AS n_removed
+            FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line
+            GROUP BY l.doc_id) k ON d.doc_id = k.doc_id""",
     "op10_maxscore": """
         WITH v AS (
             SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS t

@@ -14,6 +14,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.pii import KINDS, joined, with_pii
+
+    found = with_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headwater.llm.quality import classify, may_learn
 
@@ -57,6 +66,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op9_url_filter": op9_url_filter,

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.llm.common import saved
@@ -61,15 +61,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long), a row for each row of ``docs``."""
+    """``doc_id, mark, fp``, a row for each row of ``docs``: the text's hash and its fingerprint's bits, as signed longs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fp = np.array([fingerprint(texts[i].as_py()) for i in range(len(texts))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(each, "doc_id long, mark long, fp long")
 
 
 def rotated(fp: np.ndarray, turn: int) -> np.ndarray:
@@ -263,6 +264,17 @@ def links(values: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return dealt.select(*columns).mapInArrow(join_partition, "a long, b long")
 
 
+def grouped(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """``doc_id, mark, fp, component_id`` for every row of ``docs``."""
+    rows = saved(fingerprints(docs))
+    values = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(values.select("fp"), heavy)).withColumnRenamed("node", "fp")
+    of_root = saved(found.join(values, "fp").groupBy("root").agg(F.min("least").alias("smallest")))
+    linked = saved(found.join(of_root, "root").select("fp", "root", "smallest"))
+    every = saved(values.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "least").alias("component_id")))
+    return rows.join(every, "fp", "left").select("doc_id", "mark", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs`` (doc_id, text).
 
@@ -273,10 +285,18 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     null if it has none; repeated rows come as often as given; no rows give
     none.  Other columns are not read.
     """
-    rows = saved(fingerprints(docs))
-    values = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(values.select("fp"), heavy)).withColumnRenamed("node", "fp")
-    of_root = saved(found.join(values, "fp").groupBy("root").agg(F.min("least").alias("smallest")))
-    linked = saved(found.join(of_root, "root").select("fp", "smallest"))
-    every = saved(values.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
-    return rows.join(every, "fp", "left").select("doc_id", "fp", "component_id")
+    return grouped(docs, heavy).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """The row of each component with the smallest doc_id, all columns kept.
+
+    Of rows with that doc_id, or of a component without any, the one whose text
+    has the smallest hash stays, and of equal rows one.
+    """
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    kept = saved(grouped(docs, heavy).groupBy("root").agg(F.min(best).alias("x")).select(F.col("x.doc_id").alias("__of"), F.col("x.mark").alias("__mark")))
+    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    stays = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__of"]) & (rows["__key"] == kept["__mark"]))
+    once = Window.partitionBy("__of", "__mark").orderBy(F.lit(0))
+    return stays.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__key", "__of", "__mark", "__nth")

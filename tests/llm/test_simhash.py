@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from headwater.llm.simhash import BLOCKS, RADIUS, fingerprint, links, near_duplicates
+from headwater.llm.simhash import BLOCKS, RADIUS, fingerprint, links, near_duplicates, one_of_each
 
 
 def components_by_hand(values):
@@ -77,3 +77,9 @@ def test_fingerprint_of_few_words():
 
     assert fingerprint("One\x0btwo  THREE") == xxh64_intdigest(b"one two three", 42)
     assert fingerprint("É x y z") == xxh64_intdigest("É x y z".encode(), 42)
+
+
+def test_one_of_each(spark):
+    rows = [(5, "a b c d e", 1), (3, "a b c d e", 2), (3, "a b c d e", 2), (3, "quite another text here", 3), (None, "A b c d e", 4), (None, "no id at all here", 5), (None, "no id at all here", 6), (9, "", 7), (8, None, 8)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string, root int")).collect())
+    assert got == [(0, "no id at all here"), (3, "a b c d e"), (3, "quite another text here"), (8, "")]

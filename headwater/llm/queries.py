@@ -23,6 +23,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "score", F.sha2("value", 256).alias("value_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headwater.llm.quality import classify, may_learn
 
@@ -67,6 +73,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op9_url_filter": op9_url_filter,

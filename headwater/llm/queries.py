@@ -64,6 +64,12 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from headwater.llm.lmscore import with_scores
+
+    return with_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headwater.llm.urlfilter import judge
 
@@ -71,6 +77,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_lm_score": op8_lm_score,
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,

@@ -7,10 +7,12 @@ is its BM25 weight divided by the item's own total, so a passage with all of an
 item's words scores 1.  All items at ``THRESHOLD`` or more are retrieved.
 
 Passages are pruned exactly.  Of each item the most common terms that together
-stay below the threshold are set aside; every other term is essential to it, and
-a passage without any essential term cannot reach any item.  The passages left go
-through WAND: postings lists in order of item, term bounds to choose a pivot,
-bounds of blocks of ``RUN`` postings to skip, and full scores for the rest.
+weigh at most ``ASIDE`` are set aside; the others are essential.  The essential
+postings of a batch of documents are added up by item and half passage, for all
+passages at once; where an item's sum and the weight it has set aside do not
+reach the threshold, its score cannot either.  The passages left go through
+WAND: postings lists in order of item, term bounds to choose a pivot, bounds of
+blocks of ``RUN`` postings to skip, and full scores for the rest.
 
 A retrieved item counts as leaked if ``OVERLAP`` of its five-word shingles lie in
 the passage, and at least ``PART`` of the first half of them (the question)
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, PART = 0.6, 0.8, 0.5
+ASIDE = 0.3
 SHINGLE, PASSAGE, RUN = 5, 64, 16
 SLICE = 8 << 20
+#: Documents and bytes of text searched at once.
+DOCS, BYTES = 512, 2 << 20
 
 MATCHES = "array<struct<item_id: long, score: double, overlap: double, question: double, answer: double>>"
 #: ASCII punctuation and control characters separate words.
@@ -66,17 +72,26 @@ class Index:
         mean = sum(len(w) for _, w in self.items) / max(1, n)
         df = Counter(t for _, w in self.items for t in set(w))
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        self.essential: set[bytes] = set()
+        essential: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        self.need = np.zeros(n)  # what an item's essential terms must add up to
         for k, (_, w) in enumerate(self.items):
             tf = Counter(w)
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
             total = math.fsum(impact.values())
-            aside = 0.0
+            aside, full = 0.0, False
             for t in sorted(impact, key=lambda t: (-df[t], t)):
-                postings[t].append((k, impact[t] / total))
-                aside += impact[t] / total
-                if aside >= THRESHOLD - 1e-9:
-                    self.essential.add(t)
+                share = impact[t] / total
+                postings[t].append((k, share))
+                full = full or aside + share > ASIDE
+                if full:
+                    essential[t].append((k, share))
+                else:
+                    aside += share
+            self.need[k] = THRESHOLD - aside - 1e-9
+        self.term = {t: i for i, t in enumerate(essential)}
+        self.first = np.cumsum([0, *(len(p) for p in essential.values())])
+        self.item = np.array([k for p in essential.values() for k, _ in p], np.int64)
+        self.weight = np.array([x for p in essential.values() for _, x in p])
         self.postings = {t: ([k for k, _ in p], [x for _, x in p], max(x for _, x in p), [max(x for _, x in p[i : i + RUN]) for i in range(0, len(p), RUN)]) for t, p in postings.items()}
         self.step = max(PASSAGE, max((len(w) for _, w in self.items), default=0))
         self.parts = [item_parts(w) for _, w in self.items]
@@ -132,33 +147,74 @@ class Index:
 
         return bisect_left(items, target, place)
 
-    def leaks(self, text: str | None) -> list[dict]:
-        """Items that a document leaks, each with the best of its passages."""
-        w = words(text)
-        if self.essential.isdisjoint(w):
+    def passages(self, split: list[list[bytes]]) -> list[tuple[int, int]]:
+        """(document, start) of the passages in which some item may reach the threshold, in order."""
+        sizes = np.array([len(w) for w in split])
+        term = np.fromiter(map(self.term.get, chain.from_iterable(split), repeat(-1)), np.int64, int(sizes.sum()))
+        halves = -(-sizes // self.step) + 1  # an empty half keeps documents apart
+        base = np.cumsum(halves) - halves
+        hit = np.flatnonzero(term >= 0)
+        if not len(hit):
             return []
-        hits = [i for i, x in enumerate(w) if x in self.essential]
-        starts = sorted({s * self.step for i in hits for s in (i // self.step, i // self.step - 1) if s >= 0})
-        best: dict[int, dict] = {}
-        for s in starts:
-            passage = w[s : s + 2 * self.step]
+        doc = np.searchsorted(np.cumsum(sizes), hit, "right")
+        half = base[doc] + (hit - (np.cumsum(sizes) - sizes)[doc]) // self.step
+        once = np.unique(half * len(self.term) + term[hit])
+        half, term = once // len(self.term), once % len(self.term)
+        count = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        n = int(halves.sum())
+        key, place = np.unique(self.item[at] * n + np.repeat(half, count), return_inverse=True)
+        held = np.bincount(place, self.weight[at])
+        follows = np.append(key[1:] == key[:-1] + 1, False)
+        both = held + np.where(follows, np.append(held[1:], 0), 0)
+        need = self.need[key // n]
+        starts = set((key[both >= need] % n).tolist())
+        # a passage that ends with the half a sum lies in, where the half before has no entry of its own
+        alone = (held >= need) & ~np.append(False, follows[:-1])
+        starts |= set((key[alone] % n - 1).tolist())
+        out = []
+        for s in sorted(starts):
+            d = int(np.searchsorted(base, s, "right")) - 1
+            if s >= 0 and s - base[d] < halves[d] - 1:
+                out.append((d, int(s - base[d]) * self.step))
+        return out
+
+    def leaks(self, texts: list[str | None]) -> list[list[dict]]:
+        """Items that each document leaks, with the best of its passages."""
+        split = [words(t) for t in texts]
+        best: list[dict[int, dict]] = [{} for _ in texts]
+        if not self.term:
+            return [[] for _ in texts]
+        for d, s in self.passages(split):
+            passage = split[d][s : s + 2 * self.step]
             runs: dict[int, set] = {}
             for k, score in self.above(set(passage)):
                 size = min(SHINGLE, len(self.items[k][1]))
                 near = runs.get(size) or runs.setdefault(size, set(shingles(passage, size)))
                 whole, question, answer = ((len(x & near) / len(x)) if x else 1.0 for x in self.parts[k])
-                if whole >= OVERLAP and min(question, answer) >= PART and (k not in best or (whole, score) > (best[k]["overlap"], best[k]["score"])):
-                    best[k] = {"item_id": self.items[k][0], "score": min(1.0, score), "overlap": whole, "question": question, "answer": answer}
-        return [best[k] for k in sorted(best)]
+                if whole >= OVERLAP and min(question, answer) >= PART and (k not in best[d] or (whole, score) > (best[d][k]["overlap"], best[d][k]["score"])):
+                    best[d][k] = {"item_id": self.items[k][0], "score": min(1.0, score), "overlap": whole, "question": question, "answer": answer}
+        return [[b[k] for k in sorted(b)] for b in best]
+
+    def leaks_of_all(self, texts: pa.Array) -> list[list[dict]]:
+        """As ``leaks``, a bounded part at a time."""
+        out, some, held = [], [], 0
+        for t in texts:
+            some.append(t.as_py())
+            held += len(some[-1] or "")
+            if len(some) == DOCS or held >= BYTES:
+                out += self.leaks(some)
+                some, held = [], 0
+        return out + self.leaks(some)
 
 
 def _searched(index, column: Column) -> Column:
     @F.arrow_udf(MATCHES)
     def search(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.float64()) for n in ("score", "overlap", "question", "answer"))]))
-        return pa.array([index.value.leaks(t.as_py()) for t in texts], kind)
+        return pa.array(index.value.leaks_of_all(texts), kind)
 
-    return search(column)
+    return search.asNondeterministic()(column)  # so that the optimiser runs it once
 
 
 def with_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -183,4 +239,4 @@ def with_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, score, overlap, question, answer``: a row for each leaked item of each row of ``docs``."""
-    return with_leaks(docs.select("doc_id", "text"), items).select("doc_id", F.inline("leaks"))
+    return with_leaks(docs.select("doc_id", "text"), items).select("doc_id", "leaks").select("doc_id", F.inline("leaks"))

@@ -288,7 +288,7 @@ def pii(spark, text: Column) -> Column:
             out.append({n: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans] for n, spans in zip(("base", "spans"), both)})
         return pa.array(out, kind)
 
-    return found(text.cast("string"))
+    return found.asNondeterministic()(text.cast("string"))  # so that the optimiser runs it once
 
 
 def with_pii(docs: DataFrame) -> DataFrame:

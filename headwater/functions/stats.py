@@ -40,7 +40,8 @@ def merged_var_pop(n: str, mean: str, var: str) -> Column:
     k = F.when(F.col(n).isNotNull() & F.col(mean).isNotNull() & F.col(var).isNotNull(), F.col(n))
     total = F.nullif(F.sum(k), F.lit(0.0))
     mu = F.sum(k * F.col(mean)) / total
-    return F.greatest(F.sum(k * (F.col(var) + F.col(mean) * F.col(mean))) / total - mu * mu, F.lit(0.0))
+    found = F.sum(k * (F.col(var) + F.col(mean) * F.col(mean))) / total - mu * mu
+    return F.when(found < 0, 0.0).otherwise(found)  # greatest() would turn a null into 0
 
 
 def merged_var_samp(n: str, mean: str, var: str) -> Column:

@@ -17,7 +17,7 @@ def r(n, c, places=7):
 
 def places_of(name):
     """Decimals to compare: plain means of two-decimal values often end in an exact half, weighted ones carry rounding errors."""
-    return 7 if name.endswith("mean") and "iFLS" not in name else 4
+    return 9 if name.endswith("mean") and "iFLS" not in name else 4
 
 
 def chunks(spark, d):

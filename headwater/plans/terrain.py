@@ -166,7 +166,7 @@ def vec11(s, d):
 
 
 def simple(*columns, where=None):
-    return lambda s, d: (grid(s, d).where(where) if where else grid(s, d)).select("cell_id", *columns)
+    return lambda s, d: (grid(s, d).where(where) if where else grid(s, d)).selectExpr("cell_id", *columns)
 
 
 CODES = "(VALUES " + ", ".join(f"({r}, {c}, {k})" for r, c, k in terrain.D8) + ") o(dr, dc, code)"
@@ -204,10 +204,10 @@ QUERIES = {
     "RAS29_nested_basins": (ras29, FIRST.format(ACC + ", pp AS (SELECT cell_id FROM stream WHERE cell_id % 7 = 0)", "pp") + " SELECT f.cell_id, f.spot AS link_id FROM fm f JOIN pp ON f.spot = pp.cell_id"),
     "RAS30_flow_distance": (ras30, ACC + ", fd(cell_id, spot, dist) AS (SELECT cell_id, cell_id, CAST(0 AS DOUBLE) FROM grid UNION ALL SELECT f.cell_id, p.ds, f.dist + CASE WHEN d8 IN (1, 4, 16, 64) THEN sqrt(2) ELSE 1 END FROM fd f JOIN ptr p ON f.spot = p.cell_id WHERE p.ds IS NOT NULL AND f.spot NOT IN (SELECT cell_id FROM stream)) SELECT g.cell_id, x.spot AS target, round(x.dist, 6) AS distance FROM grid g LEFT JOIN (SELECT f.* FROM fd f JOIN stream s ON f.spot = s.cell_id) x ON g.cell_id = x.cell_id"),
     "RAS31_slope": (lambda s, d: terrain.horn_slope(grid(s, d)).select("cell_id", F.round("slope", 7).alias("slope")), f"WITH {NEAR}, h AS (SELECT cell_id, count(*) AS n, " + ", ".join(f"max(n_elev) FILTER (code = {k}) AS z{k}" for *_, k in terrain.D8) + " FROM near GROUP BY 1) SELECT cell_id, round(sqrt(pow((z1 + 2 * z2 + z4 - z16 - 2 * z32 - z64) / 8, 2) + pow((z4 + 2 * z8 + z16 - z64 - 2 * z128 - z1) / 8, 2)), 7) AS slope FROM h WHERE n = 8"),
-    "RAS32_map_algebra": (simple(F.round(F.col("elev") * 2 + F.col("col"), 6).alias("v")), f"WITH {GRID} SELECT cell_id, round(elev * 2 + col, 6) AS v FROM grid"),
-    "RAS33_mask": (simple(F.when(F.col("elev") > 0, F.col("elev")).alias("v")), f"WITH {GRID} SELECT cell_id, CASE WHEN elev > 0 THEN elev END AS v FROM grid"),
-    "RAS34_classify": (simple(F.when(F.col("elev") < -0.1, 1).when(F.col("elev") < 0.1, 2).otherwise(3).alias("v")), f"WITH {GRID} SELECT cell_id, CASE WHEN elev < -0.1 THEN 1 WHEN elev < 0.1 THEN 2 ELSE 3 END AS v FROM grid"),
-    "RAS35_clamp": (simple(F.greatest(F.least("elev", F.lit(0.1)), F.lit(-0.1)).alias("v")), f"WITH {GRID} SELECT cell_id, greatest(least(elev, 0.1::DOUBLE), -0.1::DOUBLE) AS v FROM grid"),
+    "RAS32_map_algebra": (simple("round(elev * 2 + col, 6) AS v"), f"WITH {GRID} SELECT cell_id, round(elev * 2 + col, 6) AS v FROM grid"),
+    "RAS33_mask": (simple("CASE WHEN elev > 0 THEN elev END AS v"), f"WITH {GRID} SELECT cell_id, CASE WHEN elev > 0 THEN elev END AS v FROM grid"),
+    "RAS34_classify": (simple("CASE WHEN elev < -0.1D THEN 1 WHEN elev < 0.1D THEN 2 ELSE 3 END AS v"), f"WITH {GRID} SELECT cell_id, CASE WHEN elev < -0.1 THEN 1 WHEN elev < 0.1 THEN 2 ELSE 3 END AS v FROM grid"),
+    "RAS35_clamp": (simple("greatest(least(elev, 0.1D), -0.1D) AS v"), f"WITH {GRID} SELECT cell_id, greatest(least(elev, 0.1::DOUBLE), -0.1::DOUBLE) AS v FROM grid"),
     "RAS36_crop": (simple("elev", where="row BETWEEN 5 AND 90 AND col BETWEEN 3 AND 40"), f'WITH {GRID} SELECT cell_id, elev FROM grid WHERE "row" BETWEEN 5 AND 90 AND col BETWEEN 3 AND 40'),
     "RAS37_resample": (lambda s, d: terrain.resample(grid(s, d), "elev", 4).select("row", "col", F.round("elev", 7).alias("elev")), f'WITH {GRID} SELECT "row" // 4 AS "row", col // 4 AS col, round(avg(elev), 7) AS elev FROM grid GROUP BY 1, 2'),
     "RAS37_resample_categories": (lambda s, d: terrain.resample(grid(s, d).withColumn("lu", F.pmod(F.col("row") * 7 + F.col("col") * 3, F.lit(5))), "lu", 4, True), f'WITH {GRID}, k AS (SELECT "row" // 4 AS "row", col // 4 AS col, ("row" * 7 + col * 3) % 5 AS lu, count(*) AS n FROM grid GROUP BY 1, 2, 3) SELECT "row", col, lu FROM k QUALIFY row_number() OVER (PARTITION BY "row", col ORDER BY n DESC, lu) = 1'),

@@ -72,7 +72,6 @@ def sql(*columns, source="cells", key="link_id"):
 
 
 CHUNKS = f"WITH {CELLS}, k AS (SELECT link_id, cat, CAST(count(num_a) AS DOUBLE) AS n, avg(num_a) AS m, var_pop(num_a) AS v, sum(w) AS ww, sum(w * num_a) / sum(w) AS wm, sum(w * num_a * num_a) / sum(w) - pow(sum(w * num_a) / sum(w), 2) AS wv FROM cells GROUP BY 1, 2)"
-X, W = F.col("num_b"), F.col("w")
 STATS = [("mean", "avg({})"), ("sd", "stddev_samp({})"), ("min", "min({})"), ("max", "max({})"), ("sum", "sum({})")]
 CATCH = f"WITH RECURSIVE {LINKS}, {CLOSURE}, {CELLS}, z AS (SELECT c.destination, x.* FROM cl c JOIN cells x ON c.origin = x.link_id)"
 FLAG_SQL = CATCH + " SELECT destination AS link_id, " + ", ".join(
@@ -83,22 +82,22 @@ FLAG_SQL = CATCH + " SELECT destination AS link_id, " + ", ".join(
 
 QUERIES = {
     "AGG7_zone_stats": (
-        zones(lambda: r("s", F.sum(X)), lambda: r("m", F.avg(X)), lambda: r("sd", F.stddev_samp(X)), lambda: r("v", F.var_samp(X), 6), lambda: F.count(X).alias("n"), lambda: F.min(X).alias("lo"), lambda: F.max(X).alias("hi")),
+        zones(lambda: r("s", F.sum(F.col("num_b"))), lambda: r("m", F.avg(F.col("num_b"))), lambda: r("sd", F.stddev_samp(F.col("num_b"))), lambda: r("v", F.var_samp(F.col("num_b")), 6), lambda: F.count(F.col("num_b")).alias("n"), lambda: F.min(F.col("num_b")).alias("lo"), lambda: F.max(F.col("num_b")).alias("hi")),
         sql("round(sum(num_b), 7) AS s", "round(avg(num_b), 7) AS m", "round(stddev_samp(num_b), 7) AS sd", "round(var_samp(num_b), 6) AS v", "count(num_b) AS n", "min(num_b) AS lo", "max(num_b) AS hi"),
     ),
     "AGG8_cell_count": (zones(lambda: F.count(F.lit(1)).alias("n")), sql("count(*) AS n")),
     "AGG9_category_presence": (zones(*[lambda v=v: F.count_if(F.col("cat") == v).alias(f"cat_{v}") for v in FLAGS]), sql(*[f"count(*) FILTER (cat = '{v}') AS cat_{v}" for v in FLAGS])),
-    "AGG10_weight_sum": (zones(lambda: r("w", F.sum(W), 6)), sql("round(sum(w), 6) AS w")),
-    "AGG11_weighted_mean": (zones(lambda: r("m", F.sum(X * W) / F.nullif(F.sum(F.when(X.isNotNull(), W)), F.lit(0.0)), 6)), sql("round(sum(num_b * w) / nullif(sum(w) FILTER (num_b IS NOT NULL), 0), 6) AS m")),
+    "AGG10_weight_sum": (zones(lambda: r("w", F.sum(F.col("w")), 6)), sql("round(sum(w), 6) AS w")),
+    "AGG11_weighted_mean": (zones(lambda: r("m", F.sum(F.col("num_b") * F.col("w")) / F.nullif(F.sum(F.when(F.col("num_b").isNotNull(), F.col("w"))), F.lit(0.0)), 6)), sql("round(sum(num_b * w) / nullif(sum(w) FILTER (num_b IS NOT NULL), 0), 6) AS m")),
     "AGG12_weighted_variance": (
         lambda s, d: zonal.zone_partials(cells(s, d), "link_id", ["num_b"], {}, ["w"]).select("link_id", r("v", F.col("num_b_w_var"), 8)),
         sql("round(sum(w * num_b * num_b) / nullif(sum(w) FILTER (num_b IS NOT NULL), 0) - pow(sum(num_b * w) / nullif(sum(w) FILTER (num_b IS NOT NULL), 0), 2), 8) AS v"),
     ),
-    "AGG13_weighted_sum": (zones(lambda: r("s", F.sum(X * W), 6)), sql("round(sum(num_b * w), 6) AS s")),
-    "AGG14_weight_of_values": (zones(lambda: r("w", F.sum(F.when(X.isNotNull(), W)), 6)), sql("round(sum(w) FILTER (num_b IS NOT NULL), 6) AS w")),
+    "AGG13_weighted_sum": (zones(lambda: r("s", F.sum(F.col("num_b") * F.col("w")), 6)), sql("round(sum(num_b * w), 6) AS s")),
+    "AGG14_weight_of_values": (zones(lambda: r("w", F.sum(F.when(F.col("num_b").isNotNull(), F.col("w"))), 6)), sql("round(sum(w) FILTER (num_b IS NOT NULL), 6) AS w")),
     "AGG15_merged_mean": (by_chunk(lambda: [r("m", merged_mean("n", "m"))]), f"{CHUNKS} SELECT link_id, round(sum(n * m) / sum(n), 7) AS m FROM k GROUP BY 1"),
-    "AGG16_merged_variance": (by_chunk(lambda: [r("v", merged_var_pop("n", "m", "v")), r("sd", F.sqrt(merged_var_pop("n", "m", "v")))]), f"WITH {CELLS} SELECT link_id, round(var_pop(num_a), 7) AS v, round(stddev_pop(num_a), 7) AS sd FROM cells GROUP BY 1"),
-    "AGG17_merged_sample_variance": (by_chunk(lambda: [r("v", merged_var_samp("n", "m", "v")), r("sd", F.sqrt(merged_var_samp("n", "m", "v")))]), f"WITH {CELLS} SELECT link_id, round(var_samp(num_a), 7) AS v, round(stddev_samp(num_a), 7) AS sd FROM cells GROUP BY 1"),
+    "AGG16_merged_variance": (by_chunk(lambda: [r("v", merged_var_pop("n", "m", "v"), 9), r("sd", F.sqrt(merged_var_pop("n", "m", "v")), 9)]), f"WITH {CELLS} SELECT link_id, round(var_pop(num_a), 9) AS v, round(stddev_pop(num_a), 9) AS sd FROM cells GROUP BY 1"),
+    "AGG17_merged_sample_variance": (by_chunk(lambda: [r("v", merged_var_samp("n", "m", "v"), 9), r("sd", F.sqrt(merged_var_samp("n", "m", "v")), 9)]), f"WITH {CELLS} SELECT link_id, round(var_samp(num_a), 9) AS v, round(stddev_samp(num_a), 9) AS sd FROM cells GROUP BY 1"),
     "AGG18_merged_weighted_mean": (by_chunk(lambda: [r("m", merged_mean("ww", "wm"))]), f"WITH {CELLS} SELECT link_id, round(sum(num_a * w) / sum(w), 7) AS m FROM cells GROUP BY 1"),
     "AGG19_merged_weighted_variance": (by_chunk(lambda: [r("v", merged_var_pop("ww", "wm", "wv"))]), f"WITH {CELLS} SELECT link_id, round(greatest(sum(w * num_a * num_a) / sum(w) - pow(sum(w * num_a) / sum(w), 2), 0), 7) AS v FROM cells GROUP BY 1"),
     "AGG20_merged_weighted_sample_variance": (by_chunk(lambda: [r("v", merged_var_samp("ww", "wm", "wv"), 3)]), f"WITH {CELLS} SELECT link_id, CASE WHEN sum(w) > 1 THEN round((sum(w * num_a * num_a) / sum(w) - pow(sum(w * num_a) / sum(w), 2)) * sum(w) / (sum(w) - 1), 3) END AS v FROM cells GROUP BY 1"),

@@ -32,3 +32,12 @@ def test_imports_without_the_optional_parts(monkeypatch):
     assert find is not None
     known = entry.queries()
     assert "NET1_downstream_closure" in known and not any(n.startswith("op") for n in known)
+
+
+def test_names_need_no_session():
+    """The driver may read the registry before a session exists."""
+    import subprocess
+    from pathlib import Path
+
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr[-500:]

@@ -193,4 +193,14 @@ QUERIES = {
     "SET3_intersect": (lambda s, d: part(s, d).select(F.col("p_size").alias("k")).intersect(supplier(s, d).select(F.col("s_nationkey").alias("k"))), "SELECT p_size AS k FROM part INTERSECT SELECT s_nationkey FROM supplier"),
     "SET4_replace_by_key": (set4, "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN upper(n_name) ELSE n_name END AS n_name FROM nation"),
     "SET5_cached_missing": (set5, "SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'cached' ELSE 'missing' END AS state FROM customer"),
+    "PRJ8_gather": (lambda s, d: part(s, d).where("p_partkey < 100").select("p_partkey", F.explode(F.array(*[(F.col("p_partkey") + k).alias(f"n{k}") for k in (-1, 1, 64, -64)])).alias("near")), "SELECT p_partkey, unnest([p_partkey - 1, p_partkey + 1, p_partkey + 64, p_partkey - 64]) AS near FROM part WHERE p_partkey < 100"),
+    "JN3_differently_named": (lambda s, d: supplier(s, d).join(nation(s, d), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name"), "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"),
+    "JN12_zone_of_points": (lambda s, d: events(s, d).select("event_id", F.col("user_id").alias("p_partkey")).join(part(s, d).select("p_partkey", "p_brand"), "p_partkey").select("event_id", "p_brand"), "SELECT event_id, p_brand FROM events JOIN part ON user_id = p_partkey"),
+    "JN16_cells_in_zones": (lambda s, d: lineitem(s, d).join(part(s, d).where("p_size < 5").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").groupBy("l_partkey").agg(F.count("*").alias("n")), "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY 1"),
+    "JN17_positions": (lambda s, d: part(s, d).select("p_partkey", "p_brand").join(part(s, d).select("p_brand").distinct().select("p_brand", F.row_number().over(Window.orderBy("p_brand")).alias("place")), "p_brand").select("p_partkey", "place"), "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS place FROM part"),
+    "WIN5_sequence": (lambda s, d: part(s, d).select("p_partkey", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("n")), "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS INTEGER) AS n FROM part"),
+    "RAS38_rasterise_numeric": (lambda s, d: customer(s, d).groupBy(F.floor(F.col("c_custkey") / 37).alias("row"), F.pmod("c_custkey", F.lit(8)).alias("col")).agg(F.max_by("c_acctbal", "c_custkey").alias("value")), 'SELECT CAST(floor(c_custkey / 37) AS BIGINT) AS "row", c_custkey % 8 AS col, max_by(c_acctbal, c_custkey) AS value FROM customer GROUP BY 1, 2'),
+    "RAS40_categories_long": (lambda s, d: lineitem(s, d).groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n")), "SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2"),
+    "VEC1_buffer": (lambda s, d: nearest_within(points(customer(s, d), "c_custkey", "c_acctbal"), points(supplier(s, d), "s_suppkey", "s_acctbal"), 25.0).where("near_id IS NOT NULL").select("id"), "SELECT DISTINCT c_custkey AS id FROM customer, supplier WHERE pow((c_custkey * 37) % 1000 - (s_suppkey * 37) % 1000, 2) + pow(round(abs(c_acctbal)) % 1000 - round(abs(s_acctbal)) % 1000, 2) <= 625"),
+    "ANA6_design_matrix": (lambda s, d: part(s, d).select("p_partkey", "p_size").join(lineitem(s, d).groupBy("l_partkey").pivot("l_returnflag", ["A", "R"]).agg(F.sum("l_quantity")).withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "left").fillna(0, ["A", "R"]).select("p_partkey", "p_size", F.col("A").alias("rf_a"), F.col("R").alias("rf_r")), "SELECT p_partkey, p_size, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS rf_a, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS rf_r FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2"),
 }

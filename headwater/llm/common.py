@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read only through Spark's own reader."""
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver's own path names it, as when it was not installed.
+
+    On a cluster without a shared copy the package is shipped with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    have = environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, have)))
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable.
 

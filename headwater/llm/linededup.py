@@ -63,10 +63,11 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
     windows = saved(windows)
     prints = windows.select("print", "doc_id", "mark", "spot").distinct().groupBy("print").count().where("count > 1").select("print")
-    matched = windows.join(saved(prints), "print", "left_semi")
+    # saved, so that the aggregate below deals its rows anew: by fingerprint alone a common line is one task's work
+    matched = saved(windows.join(saved(prints), "print", "left_semi"))
     first = F.min(F.struct("doc_id", "mark", "line", "end")).alias("first")
     shared = saved(matched.groupBy("print", "whole").agg(F.count("*").alias("n"), first).where("n > 1").select("print", "whole", "first"))
-    found = windows.join(shared, ["print", "whole"])
+    found = matched.join(shared, ["print", "whole"])
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))
     later = found.where(~same | (F.col("line") > F.col("first.end"))).select("doc_id", "mark", F.explode(F.sequence("line", "end")).alias("line"))
     return later.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))

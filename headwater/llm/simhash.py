@@ -295,7 +295,12 @@ def one_of_each(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     has the smallest hash stays, and of equal rows one.
     """
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    kept = saved(grouped(docs, heavy).groupBy("root").agg(F.min(best).alias("x")).select(F.col("x.doc_id").alias("__of"), F.col("x.mark").alias("__mark")))
+    return first_of_each(docs, grouped(docs, heavy).groupBy("root").agg(F.min(best).alias("x")))
+
+
+def first_of_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each row of ``chosen``, whose x holds its doc_id and its text's hash (mark)."""
+    kept = saved(chosen.select(F.col("x.doc_id").alias("__of"), F.col("x.mark").alias("__mark")))
     rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
     stays = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__of"]) & (rows["__key"] == kept["__mark"]))
     once = Window.partitionBy("__of", "__mark").orderBy(F.lit(0))

@@ -26,7 +26,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from headwater.llm.secrets import secrets
 
-    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "score", F.sha2("value", 256).alias("value_sha256"))
+    return secrets(table(spark, sf_dir, "documents"), every=True).select("doc_id", "start", "length", "score", F.sha2("value", 256).alias("value_sha256"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,25 +114,34 @@ def train(spark: SparkSession) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, value, before, after``: each candidate value of a text once, at its first place (from 0, in code points)."""
+def places(text: Column, value: Column) -> Column:
+    """All places of a value in a text, overlapping ones too, from 1 in code points."""
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    empty = F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next"))
+    starts = F.aggregate(F.split(text, literal, -1), empty, lambda a, x: F.struct(F.concat(a["at"], F.array(a["next"])).alias("at"), (a["next"] + F.length(x)).alias("next")), lambda a: a["at"])
+    return F.filter(starts, lambda p: (p > 1) | F.startswith(text, value))
+
+
+def candidates(docs: DataFrame, every: bool = False) -> DataFrame:
+    """``doc_id, start, value, before, after``: each candidate value of a text at its first place, or at every one (from 0, in code points)."""
     text = F.col("text").cast("string")
     found = F.array_distinct(F.concat(F.regexp_extract_all(F.col("t"), F.lit(RUN), F.lit(0)), F.regexp_extract_all(F.col("t"), F.lit(ASSIGNED), F.lit(1))))
     rows = docs.select(F.col("doc_id"), text.alias("t")).select("doc_id", "t", F.explode(found).alias("value"))
-    at = F.expr("locate(value, t)")
-    rows = rows.withColumn("at", at)
+    at = F.explode(places(F.col("t"), F.col("value"))) if every else F.expr("locate(value, t)")
+    rows = rows.select("doc_id", "t", "value", at.alias("at"))
     return rows.select("doc_id", (F.col("at") - 1).cast("long").alias("start"), "value", F.expr("substring(t, greatest(at - 40, 1), least(40, at - 1))").alias("before"), F.expr("substring(t, at + length(value), 8)").alias("after"))
 
 
-def secrets(docs: DataFrame, cut: float = CUT) -> DataFrame:
+def secrets(docs: DataFrame, cut: float = CUT, every: bool = False) -> DataFrame:
     """``doc_id, start, length, value, score``: the candidates of whole texts that the forest takes for secrets.
 
-    Each value counts once in a row's text.  Null and empty texts have none;
+    Each value counts once in a row's text, at its first place; with ``every``
+    each of its places is judged by what stands beside it there.  Null and empty texts have none;
     repeated rows give repeated findings; a null doc_id stays null; no rows give
     none.  Other columns are not read.
     """
     model = train(docs.sparkSession)
-    rows = candidates(docs)
+    rows = candidates(docs, every)
     rows = rows.select("doc_id", "start", "value", *features(F.col("value"), F.col("before"), F.col("after")))
     scored = model.transform(VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(rows))
     scored = scored.withColumn("score", vector_to_array("probability")[1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -31,14 +33,22 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable.
 
     The folder is the cluster's shared one, named by ``spark.checkpoint.dir``.
-    Only where that is unset (tests on one machine) a temporary one is taken.
+    Only where that is unset on one machine (tests) a temporary one is taken,
+    which goes when the driver ends; unset on a cluster, it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="headwater-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+            folder = tempfile.mkdtemp(prefix="headwater-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, with its lineage cut."""
     use_checkpoints(df.sparkSession)
+    make_importable(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -89,19 +89,30 @@ QUERIES = {
     "op7_packing": op7_packing,
 }
 
-#: Lines of documents without their repeated runs: gone(doc_id, line) and l(doc_id, line, x).
+#: Lines of documents and those of them that lie in a run which has occurred before: l(doc_id, line, x) and gone(doc_id, line).
+#: Runs are maximal: islands of equal lines on each diagonal of two documents.  Within one document a run may not reach its repeat.
 LINES_SQL = """
         l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
             FROM {documents} WHERE text IS NOT NULL),
-        t AS (SELECT *, trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS plain FROM l),
-        c AS (SELECT doc_id, line, x, length(plain) - length(replace(plain, ' ', '')) + 1 AS words FROM t WHERE plain <> ''),
-        b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before FROM c),
-        w AS (
-            SELECT doc_id, line, list(x) OVER r AS run, max(line) OVER r AS stop, sum(words) OVER r AS held
-            FROM b WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-        f AS (SELECT *, first_value(doc_id) OVER o AS d1, first_value(stop) OVER o AS s1 FROM w WHERE held >= 50 WINDOW o AS (PARTITION BY run ORDER BY doc_id, line)),
-        gone AS (SELECT DISTINCT doc_id, unnest(range(line, stop + 1)) AS line FROM f WHERE doc_id <> d1 OR line > s1)"""
+        c AS (SELECT *, len(regexp_extract_all(x, '[^ \\x09-\\x0d]+')) AS words FROM l),
+        p AS (
+            SELECT *, row_number() OVER o AS place, sum(words) OVER o AS through
+            FROM c WHERE words > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+        m AS (
+            SELECT a.doc_id AS d1, b.doc_id AS d2, b.place - a.place AS shift, b.place, b.line, b.words,
+                   b.place - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, b.place - a.place ORDER BY b.place) AS island
+            FROM p a JOIN p b ON a.x = b.x AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.place < b.place)),
+        runs AS (
+            SELECT d1, d2, shift, min(place) AS p0, max(place) AS p1, min(line) AS l0, max(line) AS l1
+            FROM m GROUP BY d1, d2, shift, island HAVING sum(words) >= 50),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(l0, l1 + 1)) AS line FROM (
+                SELECT d2 AS doc_id, l0, l1 FROM runs WHERE d1 <> d2
+                UNION ALL
+                SELECT d2, a.line, b.line FROM runs JOIN p a ON a.doc_id = d2 AND a.place BETWEEN p0 AND p1
+                JOIN p b ON b.doc_id = d2 AND b.place = least(a.place + shift - 1, p1)
+                WHERE d1 = d2 AND b.through - a.through + a.words >= 50))"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"""

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,13 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, with its lineage cut."""
-    use_checkpoints(df.sparkSession)
-    make_importable(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table into the shared checkpoint folder and read back, which cuts its lineage.
+
+    Later plans see the table's true size and read only the columns that they use.
+    """
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    make_importable(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -114,6 +114,49 @@ LINES_SQL = """
                 JOIN p b ON b.doc_id = d2 AND b.place = least(a.place + shift - 1, p1)
                 WHERE d1 = d2 AND b.through - a.through + a.words >= 50))"""
 
+def urls_sql(segments: int = 6) -> str:
+    """The template tree in SQL, a few tables for each level, to paths of ``segments`` segments (the test tables' have two)."""
+    from headwater.llm import urlfilter as u
+
+    order = sorted(u.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN {pick(v, h, p)}" for v, h, p in order) + " END"
+    shape = "CASE WHEN regexp_matches(branch, '^[0-9]+(\\.[A-Za-z]{1,5})?$') OR regexp_matches(branch, '^[0-9a-fA-F-]{8,}$') THEN '{n}' WHEN length(branch) > 24 THEN '{x}' ELSE '{w}' END"
+    base = f"""
+        WITH a AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        b AS (SELECT *, {case(lambda v, h, p: f"'{h}{p}'")} AS rule, {case(lambda v, h, p: f"'{v}'")} AS ruled FROM a),
+        units AS (SELECT host, path, count(*) AS n, count(ruled) AS known, count(*) FILTER (ruled = 'block') AS bad FROM b GROUP BY 1, 2),
+        total AS (SELECT sum(known) AS known, sum(bad) AS bad, CASE WHEN sum(known) > 0 THEN sum(bad) / sum(known) ELSE 0 END AS overall FROM units),
+        s0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, n, known, bad, '' AS node FROM units),
+        v0 AS (SELECT '' AS node, known AS known_above, bad AS bad_above, CAST(overall AS DOUBLE) AS handed FROM total)"""
+    counts = "CAST(sum(n) AS BIGINT) AS n, CAST(sum(known) AS BIGINT) AS known, CAST(sum(bad) AS BIGINT) AS bad"
+    for k in range(u.ABOVE + segments + 1):
+        raw = ("array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')", "host")[k] if k < u.ABOVE else f"coalesce(parts[{k - u.ABOVE + 1}], '')"
+        name = "branch" if k < u.ABOVE else f"CASE WHEN branch = '' THEN '{{end}}' WHEN n >= {u.SUPPORT} AND {shape} = '{{w}}' THEN replace(branch, '{{', '%7B') ELSE {shape} END"
+        pooled = "((bad + bad_above) / (known + known_above))"
+        same = f"least(known, known_above) = 0 OR {pooled} IN (0, 1) OR abs(bad / known - bad_above / known_above) < {u.Z} * sqrt({pooled} * (1 - {pooled}) * (1 / known + 1 / known_above))"
+        group = "name" if k < u.ABOVE else f"CASE WHEN {same} THEN '{{=}}' ELSE '{{q' || CAST(round(4 * bad / known) AS INTEGER) || '}}' END"
+        ended = "g.n < 20" if k < u.ABOVE else "o.branch = '' OR g.n < 20"
+        base += f""",
+        o{k} AS (SELECT *, {raw} AS branch FROM s{k}),
+        k{k} AS (SELECT *, {name} AS name FROM (SELECT node, branch, {counts} FROM o{k} GROUP BY 1, 2)),
+        m{k} AS (SELECT *, {group} AS grp FROM (SELECT node, name, {counts} FROM k{k} GROUP BY 1, 2) JOIN v{k} USING (node)),
+        g{k} AS (
+            SELECT *, (bad + {u.STRENGTH} * prior) / (known + {u.STRENGTH}) AS p, node || '/' || CASE WHEN members = 1 THEN only_ ELSE grp END AS child
+            FROM (SELECT node, grp, {counts}, count(*) AS members, min(name) AS only_, min(handed) AS prior FROM m{k} GROUP BY 1, 2)),
+        t{k} AS MATERIALIZED (
+            SELECT o.host, o.path, o.parts, o.n, o.known, o.bad, g.child AS node, g.p, {ended} AS ended
+            FROM o{k} o JOIN k{k} k USING (node, branch) JOIN m{k} m ON m.node = k.node AND m.name = k.name JOIN g{k} g ON g.node = m.node AND g.grp = m.grp),
+        s{k + 1} AS (SELECT host, path, parts, n, known, bad, node FROM t{k} WHERE NOT ended),
+        v{k + 1} AS MATERIALIZED (SELECT child AS node, known AS known_above, bad AS bad_above, known / n * p + (1 - known / n) * (SELECT overall FROM total) AS handed FROM g{k})"""
+    last = " UNION ALL ".join(f"SELECT host, path, p FROM t{k} WHERE ended" for k in range(u.ABOVE + segments + 1))
+    return f"""{base},
+        done AS ({last})
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN p >= {u.CUT} THEN 'block' ELSE 'allow' END) AS verdict FROM b JOIN done USING (host, path)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH {LINES_SQL.format(documents="documents")}
@@ -124,6 +167,7 @@ ORACLE_SQL: dict[str, str] = {
                    count(*) AS n_lines, count(gone.line) AS n_removed
             FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line
             GROUP BY l.doc_id) k ON d.doc_id = k.doc_id""",
+    "op9_url_filter": urls_sql(),
     "op10_maxscore": """
         WITH v AS (
             SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS t

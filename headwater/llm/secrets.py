@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Fixed patterns of candidates.
 RUN = r"[A-Za-z0-9+/_=~-]{20,}+"
 CUES = r"token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
-ASSIGNED = rf"(?i)(?:{CUES})s?[\"']? {{0,3}}[:= ] {{0,3}}[\"']?([^\s\"'<>]{{8,200}})"
+ASSIGNED = rf"(?i)(?:{CUES})s?[\"']? {{0,3}}[:= ] {{0,3}}[\"']?([^\s\"'<>]{{8,}}+)"
 DOUBTS = r"sha-?[0-9]|md5|checksum|digest|commit|revision|hash|uuid|guid|integrity|etag|version"
 #: Fixed letter pairs and words that are common in prose and identifiers.
 PAIRS = "th he in er an re on at en nd ti es or te ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch"

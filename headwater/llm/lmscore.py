@@ -4,22 +4,27 @@ A small bidirectional window network, written in numpy, predicts every word of a
 text from the ``REACH`` words on either side of it.  A document's score is the
 sum of its words' conditional log-probabilities.
 
-Words are numbered by the corpus: the most frequent ones have numbers of their
-own and all others share ``BUCKETS`` numbers by their last letters.  The number
-0 pads the ends of a text.  The output is factored into ``CLASSES`` classes of
-equally many words, so a probability costs two short softmaxes.
+The most frequent words of the corpus have numbers of their own; all others
+share ``BUCKETS`` numbers by their last letters.  The number 0 pads the ends of
+a text.  The network predicts numbers, its output factored into ``CLASSES``
+classes of equally many, so a probability costs two short softmaxes.  Within a
+bucket a word has its share of the bucket's occurrences in the corpus, so the
+probabilities of all words add up to 1 and the vocabulary is the corpus's own.
 
 Everything learnt comes from all documents: words are counted over the whole
-corpus; every task then trains a copy of the network on its own documents, one
-position in ``MASK`` masked and predicted at a time, and the copies are averaged
-in two steps, weighted by the positions that they saw.  Only the average, whose
-size is fixed, reaches the driver.
+corpus; every task then trains a copy of the network on its own documents, each
+position masked and predicted once, and the copies are averaged in two steps,
+weighted by the positions that they saw.  Only the average and the buckets'
+totals, whose size is fixed, reach the driver; the counts of the words in
+buckets stay a table, which the documents' words are joined to by their hash.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -34,36 +39,46 @@ SIZE = CLASSES * MEMBERS
 WORDS = SIZE - BUCKETS - 1
 REACH, WIDTH = 2, 16
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
-MASK, BATCH, RATE, SEED = 8, 2048, 0.1, 3
-#: Words scored at once, words counted or numbered before a cache is emptied, parts of the averaged network and first-step groups for each.
+BATCH, RATE, SEED = 4096, 0.1, 3
+#: Seed of the 64-bit hashes of words, the one that Spark's xxhash64 has.
+HASH = 42
+#: Words scored at once, words counted or remembered before a cache is emptied, parts of the averaged network and first-step groups for each.
 CHUNK, CACHE, PARTS, FAN = 1 << 15, 200_000, 32, 64
 
 SHAPES = {"context": (len(OFFSETS), SIZE, WIDTH), "classes": (CLASSES, WIDTH), "class_bias": (CLASSES,), "members": (CLASSES, MEMBERS, WIDTH), "member_bias": (CLASSES, MEMBERS)}
 
 
 class Numbers(dict):
-    """Word numbers; unknown words are numbered by their last three letters and remembered."""
+    """Words to places in ``numbers`` and ``hashes``; words without a number of their own get their bucket's, and are remembered."""
 
     def __init__(self, words: list[str]):
-        super().__init__({w: i + 1 for i, w in enumerate(words)})
-        self.own = len(words)
+        super().__init__()
+        self.words = words
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.update({w: i for i, w in enumerate(self.words)})
+        self.numbers, self.hashes = array("i", range(1, len(self.words) + 1)), array("Q", bytes(8 * len(self.words)))
 
     def __missing__(self, word: str) -> int:
-        n = SIZE - BUCKETS + crc32(word[-3:].encode("utf-8", "replace")) % BUCKETS
-        if len(self) < self.own + CACHE:
-            self[word] = n
-        return n
+        from xxhash import xxh64_intdigest
+
+        self[word] = i = len(self.numbers)
+        self.numbers.append(SIZE - BUCKETS + crc32(word[-3:].encode("utf-8", "replace")) % BUCKETS)
+        self.hashes.append(xxh64_intdigest(word.encode("utf-8", "replace"), HASH))
+        return i
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all texts' words, padded by ``REACH`` zeros before each text and after the last; words of each text."""
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all texts' words, padded by ``REACH`` zeros before each text and after the last; words of each text; hashes of the words, unpadded."""
+        if len(self) > len(self.words) + CACHE:
+            self.reset()
         split = [(t or "").lower().split() for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
-        out = np.zeros(int(sizes.sum()) + REACH * (len(split) + 1), np.int64)
-        at = REACH
-        for words in split:
-            out[at : at + len(words)] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            at += len(words) + REACH
-        return out, sizes
+        which = np.fromiter((i for words in split for i in map(self.__getitem__, words)), np.int64, int(sizes.sum()))
+        out = np.zeros(len(which) + REACH * (len(split) + 1), np.int64)
+        out[places(sizes)] = np.array(self.numbers, np.int64)[which]
+        return out, sizes, np.array(self.hashes, np.uint64)[which]
 
 
 class Network:
@@ -119,24 +134,25 @@ class Network:
 
     def gradients(self, seen: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         """Of the summed log-probabilities of the words at ``at``, by parameter."""
+        at = at[np.argsort(seen[at] % CLASSES, kind="stable")]
         h = self.hidden(seen, at)
         of_class, of_member = seen[at] % CLASSES, seen[at] // CLASSES
-        g = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
+        g = {n: np.zeros(s, h.dtype) for n, s in SHAPES.items()}
         d = -_softmax(h @ self.classes.T + self.class_bias)
         d[np.arange(len(at)), of_class] += 1
         g["classes"], g["class_bias"], back = d.T @ h, d.sum(axis=0), d @ self.classes
-        order = np.argsort(of_class, kind="stable")
-        bounds = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                d = -_softmax(h[own] @ self.members[c].T + self.member_bias[c])
-                d[np.arange(len(own)), of_member[own]] += 1
-                g["members"][c], g["member_bias"][c] = d.T @ h[own], d.sum(axis=0)
-                back[own] += d @ self.members[c]
+        bounds = np.searchsorted(of_class, np.arange(CLASSES + 1))
+        for c, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo < hi:
+                d = -_softmax(h[lo:hi] @ self.members[c].T + self.member_bias[c])
+                d[np.arange(hi - lo), of_member[lo:hi]] += 1
+                g["members"][c], g["member_bias"][c] = d.T @ h[lo:hi], d.sum(axis=0)
+                back[lo:hi] += d @ self.members[c]
         back *= 1 - h * h
+        columns = np.arange(WIDTH)
         for k, o in enumerate(OFFSETS):
-            np.add.at(g["context"][k], seen[at + o], back)
+            spot = (seen[at + o][:, None] * WIDTH + columns).ravel()
+            g["context"][k] = np.bincount(spot, back.ravel(), SIZE * WIDTH).reshape(SIZE, WIDTH)
         return g
 
     def train(self, seen: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray]) -> None:
@@ -198,18 +214,32 @@ def _averaged(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([sum(group.column("weight").to_pylist())], pa.float64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame) -> tuple[list[str], Network]:
+@dataclass
+class Model:
+    """Words with numbers, the network, the buckets' totals, and a table of all words' counts (key, n) by hash."""
+
+    words: list[str]
+    network: Network
+    totals: np.ndarray
+    counts: DataFrame
+
+
+def fit(docs: DataFrame) -> Model:
     """The vocabulary and network of the corpus ``docs`` (text)."""
     spark = docs.sparkSession
     counts = saved(word_counts(docs))
     top = counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
-    numbers = Numbers([r.word for r in top])
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    words = [r.word for r in top]
+    bucket = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(BUCKETS)).alias("bucket")
+    rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "word string")), "word", "left_anti")
+    totals = np.zeros(BUCKETS)
+    for r in rest.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
+        totals[r.bucket] = r.n
     tally = np.zeros(SIZE)
     tally[1 : len(top) + 1] = [r.n for r in top]
-    tally[SIZE - BUCKETS :] = max(0, total - tally.sum()) / BUCKETS
+    tally[SIZE - BUCKETS :] = totals
     start = Network.fresh(tally)
-    held = spark.sparkContext.broadcast((list(numbers), start.flat()))
+    held = spark.sparkContext.broadcast((words, start.flat()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = held.value
@@ -218,9 +248,8 @@ def fit(docs: DataFrame) -> tuple[list[str], Network]:
         rng = np.random.default_rng(SEED)
         for batch in batches:
             for some in portions(batch.column(0)):
-                seen, sizes = own.of(some)
-                at = places(sizes)
-                at = rng.permutation(at[(np.arange(len(at)) + int(rng.integers(MASK))) % MASK == 0])
+                seen, sizes, _ = own.of(some)
+                at = rng.permutation(places(sizes))
                 network.train(seen, at, squares)
                 weight += len(at)
         if weight:
@@ -236,32 +265,55 @@ def fit(docs: DataFrame) -> tuple[list[str], Network]:
     copies = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "part int, fan int, weight double, sums binary")
     kind = "part int, weight double, sums binary"
     sums = copies.groupBy("part", "fan").applyInArrow(_averaged, kind).groupBy("part").applyInArrow(_averaged, kind).collect()
-    if not sums:
-        return list(numbers), start
-    flat = np.concatenate([np.frombuffer(r.sums, np.float64) / r.weight for r in sorted(sums, key=lambda r: r.part)])
-    return list(numbers), Network.of_flat(flat)
+    network = Network.of_flat(np.concatenate([np.frombuffer(r.sums, np.float64) / r.weight for r in sorted(sums, key=lambda r: r.part)])) if sums else start
+    return Model(words, network, totals, rest.select(F.xxhash64("word").alias("key"), "n"))
 
 
-def scorer(spark, words: list[str], network: Network) -> Column:
-    """A struct of the number of words of column ``text`` and their summed log-probability."""
-    held = spark.sparkContext.broadcast((words, network.flat()))
-    kind = pa.struct([("n_words", pa.int64()), ("log_probability", pa.float64())])
+def scorer(spark, model: Model) -> Column:
+    """Of column ``text``: its number of words, their summed log-probability but for the counts of words in buckets, and these words' hashes."""
+    held = spark.sparkContext.broadcast((model.words, model.network.flat(), model.totals))
+    kind = pa.struct([("n_words", pa.int64()), ("sum", pa.float64()), ("rest", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<n_words: long, log_probability: double>")
+    @F.arrow_udf("struct<n_words: long, sum: double, rest: array<long>>")
     def scored(texts: pa.Array) -> pa.Array:
-        words, flat = held.value
+        words, flat, totals = held.value
         numbers, network = Numbers(words), Network.of_flat(flat)
-        out: list[dict] = []
+        share = np.zeros(SIZE)
+        share[SIZE - BUCKETS :] = -np.log(np.maximum(totals, 1))
+        n, total, rest, size = [], [], [], []
         for some in portions(texts):
-            seen, sizes = numbers.of(some)
-            each = np.append(0.0, np.cumsum(network.log_probabilities(seen, places(sizes))))
+            seen, sizes, hashes = numbers.of(some)
+            at = places(sizes)
+            each = np.append(0.0, np.cumsum(network.log_probabilities(seen, at) + share[seen[at]]))
+            in_bucket = seen[at] >= SIZE - BUCKETS
+            held_so_far = np.append(0, np.cumsum(in_bucket))
             ends = np.cumsum(sizes)
-            out += [{"n_words": int(n), "log_probability": float(s)} for n, s in zip(sizes, each[ends] - each[ends - sizes])]
-        return pa.array(out, kind)
+            n.append(sizes)
+            total.append(each[ends] - each[ends - sizes])
+            size.append(held_so_far[ends] - held_so_far[ends - sizes])
+            rest.append(hashes[in_bucket].view(np.int64))
+        if not n:
+            return pa.array([], kind)
+        offsets = np.append(0, np.cumsum(np.concatenate(size))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rest)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(total)), lists], fields=list(kind))
 
     return scored.asNondeterministic()(F.col("text").cast("string"))  # so that the optimiser runs it once
 
 
+def scores(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (text among its columns), with ``n_words``, ``log_probability`` and ``mean_log_probability``, as ``with_scores``."""
+    model = fit(docs)
+    new = ("n_words", "log_probability", "mean_log_probability")
+    keep = [c for c in keep if c not in new]
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), scorer(docs.sparkSession, model).alias("__lm"))
+    rows = saved(rows.select(*keep, "__row", "__lm.n_words", F.col("__lm.sum").alias("__sum"), F.col("__lm.rest").alias("__rest")))
+    shares = rows.select("__row", F.explode("__rest").alias("key")).join(model.counts, "key").groupBy("__row").agg(F.sum(F.ln("n")).alias("__more"))
+    total = F.col("__sum") + F.coalesce("__more", F.lit(0.0))
+    out = rows.drop("__rest").join(shares, "__row", "left").withColumn("log_probability", total)
+    return out.select(*keep, "n_words", "log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")).alias("mean_log_probability"))
+
+
 def with_scores(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` (text among them), ``n_words``, ``log_probability`` and ``mean_log_probability`` (per word).
 
@@ -270,7 +322,4 @@ def with_scores(docs: DataFrame) -> DataFrame:
     get equal scores up to rounding; no rows give none.  A column of ``docs``
     with a new column's name is replaced.
     """
-    words, network = fit(docs)
-    out = docs.withColumn("__lm", scorer(docs.sparkSession, words, network))
-    out = out.withColumn("n_words", F.col("__lm.n_words")).withColumn("log_probability", F.col("__lm.log_probability"))
-    return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))).drop("__lm")
+    return scores(docs, docs.columns)

@@ -65,9 +65,9 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from headwater.llm.lmscore import with_scores
+    from headwater.llm.lmscore import scores
 
-    return with_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scores(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

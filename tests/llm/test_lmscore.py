@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
-from headwater.llm.lmscore import CLASSES, MEMBERS, OFFSETS, REACH, SHAPES, SIZE, Network, Numbers, fit, places, with_scores
+from headwater.llm.lmscore import BUCKETS, CLASSES, HASH, MEMBERS, OFFSETS, REACH, SHAPES, SIZE, Network, Numbers, fit, places, with_scores
 
 
 def random_network():
@@ -43,10 +46,11 @@ def test_gradients_by_differences():
 
 def test_padding_keeps_texts_apart():
     numbers = Numbers(["a", "b"])
-    seen, sizes = numbers.of(["a b", None, "b zzz a"])
+    seen, sizes, hashes = numbers.of(["a b", None, "b zzz a"])
+    assert hashes[3] == xxh64_intdigest("zzz", HASH)
     assert sizes.tolist() == [2, 0, 3] and seen[places(sizes)].tolist()[:3] == [1, 2, 2]
     network = random_network()
-    alone = network.log_probabilities(*[(s, places(z)) for s, z in [numbers.of(["b zzz a"])]][0])
+    alone = network.log_probabilities(*[(s, places(z)) for s, z, _ in [numbers.of(["b zzz a"])]][0])
     assert np.allclose(network.log_probabilities(seen, places(sizes))[2:], alone)
 
 
@@ -62,20 +66,38 @@ def test_held_out_texts_in_order_score_higher(spark):
             w = follow[w] if rng.random() < 0.9 else rng.choice(list(follow))
         return out
 
-    words, network = fit(spark.createDataFrame([(" ".join(text(400)),) for _ in range(300)], "text string").repartition(2))
-    numbers = Numbers(words)
+    model = fit(spark.createDataFrame([(" ".join(text(400)),) for _ in range(300)], "text string").repartition(2))
+    numbers, network = Numbers(model.words), model.network
     gain = []
     for _ in range(20):
         good = text(200)
         bad = rng.sample(good, len(good))
         scores = []
         for t in (good, bad):
-            seen, sizes = numbers.of([" ".join(t)])
+            seen, sizes, _ = numbers.of([" ".join(t)])
             scores.append(network.log_probabilities(seen, places(sizes)).sum())
         gain.append(scores[0] > scores[1])
     assert all(gain)
 
 
+def test_words_in_buckets_have_their_share(spark):
+    """A score is the network's part and, of each word in a bucket, the log of its share of the bucket's occurrences."""
+    rng = random.Random(3)
+    rare = [f"{rng.randrange(10**9)}ing" for _ in range(3000)]
+    texts = [" ".join(rng.choices(rare, range(1, 3001), k=40)) for _ in range(400)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    tally = Counter(w for t in texts for w in t.split())
+    model = fit(frame)
+    numbers = Numbers(model.words)
+    inside = {w: n for w, n in tally.items() if w not in set(model.words)}
+    assert inside and sum(inside.values()) == model.totals.sum() and len(model.words) + BUCKETS < SIZE
+    for r in with_scores(frame).collect():
+        seen, sizes, _ = numbers.of([r.text])
+        want = model.network.log_probabilities(seen, places(sizes)).sum()
+        want += sum(math.log(inside[w] / sum(inside.values())) for w in r.text.split() if w in inside)
+        assert abs(r.log_probability - want) < 1e-2 * abs(want)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, " ", "a"), (3, "x y z", "a"), (3, "x y z", "a"), (None, "long " * 90000, "a")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_words string")

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from headwater.llm.decontaminate import B, K1, OVERLAP, PART, THRESHOLD, Index, leaked_pairs, shingles, with_leaks, words
 
 
@@ -32,7 +34,7 @@ def test_leaks_as_by_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["th", "er", "an", "in", "on", "re"]) for _ in range(rng.randint(1, 4)))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(rng.randint(6, 90))) for i in range(40)]
+    items = [(i, text(rng.randint(6, 90))) for i in range(38)] + [(38, text(300)), (39, text(20) + "\n" + text(3))]
     docs = [(i, text(rng.randint(0, 600))) for i in range(120)]
     for i in range(0, 120, 3):
         whole = words(items[i % 40][1])
@@ -40,20 +42,27 @@ def test_leaks_as_by_brute_force(spark):
         at = rng.randint(0, len(docs[i][1]))
         docs[i] = (i, docs[i][1][:at] + " " + part + " " + docs[i][1][at:])
     want = set()
-    step = max(64, max(len(words(t)) for _, t in items))
     for d, t in docs:
         w = words(t)
-        for s in range(0, len(w), step):
+        for step, s in [(step, s) for step in (64, 128, 256, 512) for s in range(0, len(w), step)]:
             passage = w[s : s + 2 * step]
             near = set(shingles(passage))
             for (i, item), score in zip(sorted(items), scores_by_hand(items, set(passage))):
+                if step != max(64, 1 << (len(words(item)) - 1).bit_length()):
+                    continue
                 runs = shingles(words(item))
-                parts = [set(runs), set(runs[: -(-len(runs) // 2)]), set(runs[-(-len(runs) // 2) :])]
+                cut = len(words(item.rpartition("\n")[0])) - 4 if "\n" in item else -(-len(runs) // 2)
+                parts = [set(runs), set(runs[:cut]), set(runs[cut:])]
                 share = [len(x & near) / len(x) if x else 1.0 for x in parts]
                 if score >= THRESHOLD and share[0] >= OVERLAP and min(share[1:]) >= PART:
                     want.add((d, i))
     got = leaked_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) >= 20
+    # with the index in many slices every score is the same
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r.doc_id, r.item_id, round(r.score, 9), r.overlap, r.question, r.answer)
+    sliced = with_leaks(*frames, most=3000).select("doc_id", F.inline("leaks")).collect()
+    assert sorted(map(key, sliced)) == sorted(map(key, got))
 
 
 def test_odd_rows(spark):

@@ -14,7 +14,13 @@ makes each transition amortised constant time.
 The stream is solved in blocks of ``BLOCK`` tokens: all windows but the last
 few of a block are settled and the rest starts the next block, so memory is
 bounded by a block and the longest single document, and no padding is added
-between blocks.  No text is shuffled: a partition is packed where it is read.
+between blocks.  The program is exact over the cuts offered, within a block and
+what it takes over.  No text is shuffled: a partition is packed where it is read.
+
+A partition's windows end where that costs least within a window's length of its
+end.  What lies behind, less than a window, goes to a second step, which packs
+the remainders of ``TOGETHER`` partitions at a time in the same way; only the
+last sequence of each such group ends where its tokens do.
 """
 
 from __future__ import annotations
@@ -29,8 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.llm.common import saved
+
 MAX_LEN = 4096
 BLOCK = 1 << 19
+#: Partitions whose remainders are packed together.
+TOGETHER = 1024
 #: Cost of a cut, in tokens of padding that it is worth.
 SENTENCE_CUT, PLAIN_CUT = 4, 32
 #: Plain cuts are offered every so many tokens in stretches without a sentence end.
@@ -40,8 +50,8 @@ CACHE = 400_000
 #: Bytes of text after which a batch of documents is tokenised.
 CHARS = 4_000_000
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loose boolean"
+ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loose", pa.bool_())])
 TAIL = ".,!?*$%&#|;:\"'"
 
 
@@ -179,8 +189,8 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray)
     return at, cost[at]
 
 
-def cuts(at: list[int], penalty: list[int], max_len: int) -> list[int]:
-    """Positions of the cheapest cuts, from the first candidate to the last."""
+def cuts(at: list[int], penalty: list[int], max_len: int, open_end: bool = False) -> list[int]:
+    """Positions of the cheapest cuts, from the first candidate to the last; with ``open_end`` to the cheapest one less than ``max_len`` before it."""
     cost, back = [0] * len(at), [0] * len(at)
     queue = deque([(at[0], at[0], 0)])  # f + p, p, index; f + p grows along the queue
     for j in range(1, len(at)):
@@ -195,6 +205,8 @@ def cuts(at: list[int], penalty: list[int], max_len: int) -> list[int]:
             queue.pop()
         queue.append((key, p, j))
     out, j = [], len(at) - 1
+    if open_end:
+        j = min((k for k in range(len(at)) if at[k] > at[-1] - max_len), key=lambda k: (cost[k], -k))
     while j:
         out.append(at[j])
         j = back[j]
@@ -215,13 +227,18 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, max_len: int, e
         nonlocal stream, held, sequence
         if not held:
             return None
+        loose_from = None
         ids = np.concatenate([np.frombuffer(x[1], np.uint16) for x in stream])
         ends = np.cumsum([len(x[1]) // 2 for x in stream])
         at, penalty = candidates(ids, ends, words.ends_sentence)
-        chosen = cuts(at.tolist(), penalty.tolist(), max_len)
+        chosen = cuts(at.tolist(), penalty.tolist(), max_len, open_end=last)
         if not last:
             chosen = [c for c in chosen if c <= len(ids) - 8 * max_len] or chosen
+        elif chosen[-1] < len(ids):
+            chosen.append(len(ids))
+            loose_from = chosen[-2]
         columns: list[list] = [[] for _ in ARROW]
+        loose_from = len(ids) if not last or loose_from is None else loose_from
         k, begun, wide = 0, 0, ids.astype("<u4")
         for lo, hi in zip(chosen, chosen[1:]):
             offset = 0
@@ -229,7 +246,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, max_len: int, e
                 doc_id, raw, before, total = stream[k]
                 here = lo + offset
                 size = min(hi, int(ends[k])) - here
-                for column, value in zip(columns, (doc_id, before + here - begun, size, wide[here : here + size].tobytes(), total, base + sequence, offset)):
+                for column, value in zip(columns, (doc_id, before + here - begun, size, wide[here : here + size].tobytes(), total, base + sequence, offset, lo >= loose_from)):
                     column.append(value)
                 offset += size
                 if here + size == ends[k]:
@@ -261,6 +278,25 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, max_len: int, e
         yield out
 
 
+def pack_loose(pieces: pa.Table, ends_sentence: np.ndarray, max_len: int) -> pa.Table:
+    """Pieces of one group of partitions, packed in their order."""
+    pieces = pieces.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+    rows = pieces.to_pylist()
+    size = np.array([r["length"] for r in rows], np.int64)
+    ends = np.cumsum(size)
+    at, penalty = candidates(np.frombuffer(b"".join(r["ids"] for r in rows), "<u4"), ends, ends_sentence)
+    chosen = np.array(cuts(at.tolist(), penalty.tolist(), max_len))
+    base = (1 << 62) | ((rows[0]["sequence_id"] >> 40) // TOGETHER) << 40
+    edges = np.unique(np.concatenate([chosen, ends]))
+    columns: list[list] = [[] for _ in ARROW]
+    for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+        row = rows[k := int(np.searchsorted(ends, lo, "right"))]
+        skip, window = lo - int(ends[k] - size[k]), int(np.searchsorted(chosen, lo, "right")) - 1
+        for column, value in zip(columns, (row["doc_id"], row["start"] + skip, hi - lo, row["ids"][4 * skip : 4 * (skip + hi - lo)], row["doc_tokens"], base + window, lo - int(chosen[window]), True)):
+            column.append(value)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
+
+
 def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = 2, block: int = BLOCK) -> DataFrame:
     """Pieces of the sequences into which ``docs`` (doc_id, text) are packed.
 
@@ -272,4 +308,8 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = 2, bl
     """
     if block < 16 * max_len:
         raise ValueError("a block holds at least 16 windows")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: pack_partition(it, path, max_len, end_id, block), SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    first = saved(texts.mapInArrow(lambda it: pack_partition(it, path, max_len, end_id, block), SCHEMA))
+    group = F.shiftright("sequence_id", 40) / F.lit(TOGETHER)
+    rest = first.where("loose").groupBy(F.floor(group)).applyInArrow(lambda t: pack_loose(t, worker_tokenizer(path).ends_sentence, max_len), SCHEMA)
+    return first.where("NOT loose").union(rest).drop("loose")

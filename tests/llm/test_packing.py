@@ -1,5 +1,5 @@
 import random
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +36,37 @@ def test_cuts_are_cheapest():
 
 @pytest.mark.parametrize("block", [16 * 64, 1 << 14])
 def test_round_trip(spark, block):
-    rows = [(i, ODD[i % len(ODD)], "z") for i in range(40)] + [(99, "Long one. " * 3000, "z"), (None, "no id", "z"), (1, "twice", "z"), (1, "twice", "z")]
+    rows = [(i, ODD[i % len(ODD)], "z") for i in range(40)] + [(99, "Long one. " * 3000, "z"), (None, "no id", "z"), (200, "twice", "z"), (200, "twice", "z")]
     got = pack(spark.createDataFrame(rows, "doc_id long, text string, length string"), PATH, max_len=64, block=block).collect()
+    check(rows, got, 64)
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert sum(filled.values()) > 0.9 * 64 * len(filled)
+
+
+def check(rows, got, most):
+    """Every id of every document lies in as many pieces as its row comes; sequences have no gaps."""
     t = tokenizers.Tokenizer.from_file(PATH)
-    want = sorted(zlib.crc32(np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, text, _ in rows)
-    docs, open_, filled = [], {}, {}
+    want, copies, seen, filled = {}, Counter(), Counter(), Counter()
+    for i, text, *_ in rows:
+        want[i] = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        copies.update((i, k) for k in range(len(want[i])))
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
-        assert r.offset == filled.get(r.sequence_id, 0) and len(r.ids) == 4 * r.length
-        filled[r.sequence_id] = r.offset + r.length
-        part = r.sequence_id >> 40, r.doc_id
-        assert len(open_.get(part, b"")) == 4 * r.start
-        open_[part] = open_.get(part, b"") + r.ids
-        if len(open_[part]) == 4 * r.doc_tokens:
-            docs.append(zlib.crc32(open_.pop(part)))
-    assert not open_ and sorted(docs) == want and max(filled.values()) <= 64
-    assert sum(filled.values()) > 0.9 * 64 * (len(filled) - 4)
+        assert r.offset == filled[r.sequence_id] and r.doc_tokens == len(want[r.doc_id])
+        assert r.ids == want[r.doc_id][r.start : r.start + r.length].tobytes() and len(r.ids) == 4 * r.length > 0
+        filled[r.sequence_id] += r.length
+        seen.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+    assert seen == copies and max(filled.values()) <= most
+
+
+@pytest.mark.parametrize("parts", [1, 60])
+def test_little_padding_in_any_number_of_partitions(spark, parts):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "stone.", "water", "falls", "again."]) for _ in range(rng.randint(0, 90)))) for i in range(1500)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), PATH, max_len=256, block=16 * 256).collect()
+    check(rows, got, 256)
+    assert sum(r.length for r in got) > 0.985 * 256 * len({r.sequence_id for r in got})
 
 
 def test_empty_table(spark):

@@ -176,10 +176,10 @@ ORACLE_SQL: dict[str, str] = {
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         e AS (SELECT r, vec_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM v),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-            FROM e q JOIN e c ON q.k = c.k AND q.vec_id <> c.vec_id
+            SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.k = c.k AND q.r <> c.r
             WHERE q.vec_id % 50 = 0 GROUP BY q.r, c.r, q.vec_id, c.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
 }

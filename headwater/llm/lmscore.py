@@ -22,15 +22,16 @@ buckets stay a table, which the documents' words are joined to by their hash.
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from headwater.llm.common import saved
 
@@ -39,15 +40,28 @@ SIZE = CLASSES * MEMBERS
 WORDS = SIZE - BUCKETS - 1
 REACH, WIDTH = 2, 16
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
-BATCH, RATE, SEED = 4096, 0.1, 3
+BATCH, RATE, SEED = 8192, 0.1, 3
 #: Seed of the 64-bit hashes of words, the one that Spark's xxhash64 has.
 HASH = 42
+#: Largest size of a logit that counts, far beyond those that training reaches; exp of it fits 32 bits.
+CLIP = 60.0
 #: Words scored at once, words counted or remembered before a cache is emptied, parts of the averaged network and first-step groups for each.
-CHUNK, CACHE, PARTS, FAN = 1 << 15, 200_000, 32, 64
+CHUNK, CACHE, PARTS, FAN = 1 << 15, 400_000, 32, 64
 
 SHAPES = {"context": (len(OFFSETS), SIZE, WIDTH), "classes": (CLASSES, WIDTH), "class_bias": (CLASSES,), "members": (CLASSES, MEMBERS, WIDTH), "member_bias": (CLASSES, MEMBERS)}
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-case words of ``texts``, the place of each word among them, and the number of words of each text; null is an empty text."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = split.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    bounds = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
+    sizes = np.diff(np.append(0, np.cumsum(real))[bounds]) if len(split) else np.zeros(0, np.int64)
+    coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), sizes
+
+
 class Numbers(dict):
     """Words to places in ``numbers`` and ``hashes``; words without a number of their own get their bucket's, and are remembered."""
 
@@ -59,26 +73,24 @@ class Numbers(dict):
     def reset(self) -> None:
         self.clear()
         self.update({w: i for i, w in enumerate(self.words)})
-        self.numbers, self.hashes = array("i", range(1, len(self.words) + 1)), array("Q", bytes(8 * len(self.words)))
+        self.numbers, self.hashes = array("q", range(1, len(self.words) + 1)), array("Q", bytes(8 * len(self.words)))
 
     def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
         self[word] = i = len(self.numbers)
+        raw = word.encode("utf-8", "replace")
         self.numbers.append(SIZE - BUCKETS + crc32(word[-3:].encode("utf-8", "replace")) % BUCKETS)
-        self.hashes.append(xxh64_intdigest(word.encode("utf-8", "replace"), HASH))
+        self.hashes.append(xxh64_intdigest(raw, HASH))
         return i
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all texts' words, padded by ``REACH`` zeros before each text and after the last; words of each text; hashes of the words, unpadded."""
         if len(self) > len(self.words) + CACHE:
             self.reset()
-        split = [(t or "").lower().split() for t in texts]
-        sizes = np.array([len(w) for w in split], np.int64)
-        which = np.fromiter((i for words in split for i in map(self.__getitem__, words)), np.int64, int(sizes.sum()))
-        out = np.zeros(len(which) + REACH * (len(split) + 1), np.int64)
-        out[places(sizes)] = np.array(self.numbers, np.int64)[which]
-        return out, sizes, np.array(self.hashes, np.uint64)[which]
+        distinct, which, sizes = words_of(texts)
+        at = np.fromiter(map(self.__getitem__, distinct.to_pylist()), np.int64, len(distinct))[which]
+        out = np.zeros(len(which) + REACH * (len(sizes) + 1), np.int64)
+        out[places(sizes)] = np.array(self.numbers)[at]
+        return out, sizes, np.array(self.hashes)[at]
 
 
 class Network:
@@ -163,13 +175,12 @@ class Network:
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+    return np.log(np.exp(np.clip(z, -CLIP, CLIP)) @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(np.clip(z, -CLIP, CLIP))
+    return e / (e @ np.ones(z.shape[1], z.dtype))[:, None]
 
 
 def places(sizes: np.ndarray) -> np.ndarray:
@@ -178,32 +189,31 @@ def places(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def portions(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str | None]]:
-    """The texts in order, some two million letters at a time."""
-    some, held = [], 0
-    for t in texts:
-        some.append(t.as_py())
-        held += len(some[-1] or "")
-        if held >= most:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
+def portions(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+    """The texts in order, some two million bytes at a time."""
+    filled = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(filled, (filled[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all texts; counted in the tasks that read them, then added up by word."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, int] = {}
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
             for some in portions(batch.column(0)):
-                for text in some:
-                    counts.update((text or "").lower().split())
+                distinct, which, _ = words_of(some)
+                for word, n in zip(distinct.to_pylist(), np.bincount(which, minlength=len(distinct)).tolist()):
+                    counts[word] = counts.get(word, 0) + n
                 if len(counts) > CACHE:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-                    counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+                    yield rows()
+                    counts = {}
+        yield rows()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -307,8 +317,9 @@ def scores(docs: DataFrame, keep: list[str]) -> DataFrame:
     new = ("n_words", "log_probability", "mean_log_probability")
     keep = [c for c in keep if c not in new]
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), scorer(docs.sparkSession, model).alias("__lm"))
+    # a word that comes once adds the logarithm of 1
     rows = saved(rows.select(*keep, "__row", "__lm.n_words", F.col("__lm.sum").alias("__sum"), F.col("__lm.rest").alias("__rest")))
-    shares = rows.select("__row", F.explode("__rest").alias("key")).join(model.counts, "key").groupBy("__row").agg(F.sum(F.ln("n")).alias("__more"))
+    shares = rows.select("__row", F.explode("__rest").alias("key")).join(model.counts.where("n > 1"), "key").groupBy("__row").agg(F.sum(F.ln("n")).alias("__more"))
     total = F.col("__sum") + F.coalesce("__more", F.lit(0.0))
     out = rows.drop("__rest").join(shares, "__row", "left").withColumn("log_probability", total)
     return out.select(*keep, "n_words", "log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")).alias("mean_log_probability"))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 from headwater.llm.lmscore import BUCKETS, CLASSES, HASH, MEMBERS, OFFSETS, REACH, SHAPES, SIZE, Network, Numbers, fit, places, with_scores
@@ -46,11 +47,11 @@ def test_gradients_by_differences():
 
 def test_padding_keeps_texts_apart():
     numbers = Numbers(["a", "b"])
-    seen, sizes, hashes = numbers.of(["a b", None, "b zzz a"])
+    seen, sizes, hashes = numbers.of(pa.array(["a b", None, " b zzz  a\n"]))
     assert hashes[3] == xxh64_intdigest("zzz", HASH)
     assert sizes.tolist() == [2, 0, 3] and seen[places(sizes)].tolist()[:3] == [1, 2, 2]
     network = random_network()
-    alone = network.log_probabilities(*[(s, places(z)) for s, z, _ in [numbers.of(["b zzz a"])]][0])
+    alone = network.log_probabilities(*[(s, places(z)) for s, z, _ in [numbers.of(pa.array(["b zzz a"]))]][0])
     assert np.allclose(network.log_probabilities(seen, places(sizes))[2:], alone)
 
 
@@ -74,7 +75,7 @@ def test_held_out_texts_in_order_score_higher(spark):
         bad = rng.sample(good, len(good))
         scores = []
         for t in (good, bad):
-            seen, sizes, _ = numbers.of([" ".join(t)])
+            seen, sizes, _ = numbers.of(pa.array([" ".join(t)]))
             scores.append(network.log_probabilities(seen, places(sizes)).sum())
         gain.append(scores[0] > scores[1])
     assert all(gain)
@@ -92,7 +93,7 @@ def test_words_in_buckets_have_their_share(spark):
     inside = {w: n for w, n in tally.items() if w not in set(model.words)}
     assert inside and sum(inside.values()) == model.totals.sum() and len(model.words) + BUCKETS < SIZE
     for r in with_scores(frame).collect():
-        seen, sizes, _ = numbers.of([r.text])
+        seen, sizes, _ = numbers.of(pa.array([r.text]))
         want = model.network.log_probabilities(seen, places(sizes)).sum()
         want += sum(math.log(inside[w] / sum(inside.values())) for w in r.text.split() if w in inside)
         assert abs(r.log_probability - want) < 1e-2 * abs(want)

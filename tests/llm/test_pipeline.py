@@ -5,10 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from headwater.llm.decontaminate import words
-from headwater.llm.simhash import RADIUS, fingerprint
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -45,6 +45,7 @@ def folder(spark, tmp_path_factory):
 
 def test_each_stage_on_its_input(spark, folder):
     from test_linededup import by_hand
+    from test_neardup import five
 
     root, docs, items = folder
     stages = dict(corpus_pipeline.STAGES)
@@ -61,21 +62,14 @@ def test_each_stage_on_its_input(spark, folder):
 
     frame = spark.createDataFrame(lines, kept.schema)
     near = stages["near_dedup"](spark, frame, root).collect()
-    prints = np.array([fingerprint(r.text) for r in lines], np.uint64)
-    ids = np.array([r.doc_id for r in lines])
-    root_of = {}
-    for start in np.argsort(ids):
-        if start in root_of:
-            continue
-        group, todo = {start}, [start]
-        while todo:
-            j = todo.pop()
-            for k in np.flatnonzero(np.bitwise_count(prints ^ prints[j]) <= RADIUS):
-                if k not in group:
-                    group.add(k)
-                    todo.append(k)
-        root_of |= {k: ids[start] for k in group}
-    assert sorted(r.doc_id for r in near) == sorted(set(root_of.values()))
+    sets = {r.doc_id: five(r.text) for r in lines}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    assert sorted(r.doc_id for r in near) == sorted(set(group.values()))
 
     clean = stages["decontaminate"](spark, spark.createDataFrame(near, kept.schema), root).collect()
     leaks = {r.doc_id for r in near if any(b" ".join(words(t)) in b" ".join(words(r.text)) for _, t in items)}
@@ -89,5 +83,23 @@ def test_each_stage_on_its_input(spark, folder):
     assert sum(r.length for r in packed) == sum(map(len, ids_of.values()))
 
 
+def test_odd_tables(spark, folder):
+    """Null ids, repeated rows, columns with the operators' own names, and no rows."""
+    root, docs, _ = folder
+    rows = [(i, t, 0.25, 7, "kept", n) for i, t, _, _, n in docs[:40]] * 2 + [(None, docs[1][1], 0.5, 8, "kept", 0), (None, None, 0.5, 8, "kept", None)]
+    kind = "doc_id long, text string, score double, predicted int, leaks string, n_chars long"
+    frame = spark.createDataFrame(rows, kind).withColumn("n_removed", F.lit("x")).withColumn("Key", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, frame.limit(0), root)
+        got = stage(spark, frame, root)
+        assert none.count() == 0
+        if name != "packing":
+            assert got.columns == frame.columns and none.columns == frame.columns
+            found = got.collect()
+            assert found and {(r.score, r.predicted, r.leaks, r.n_removed) for r in found} <= {(0.25, 7, "kept", "x"), (0.5, 8, "kept", "x")}
+            if name == "near_dedup":
+                assert len(found) == len({r.doc_id for r in found}) < 41
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0

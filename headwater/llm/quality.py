@@ -1,12 +1,13 @@
 """Quality classification by naive Bayes support vectors.
 
-Features are indicators, hashed to ``WIDTH`` places: byte trigrams of the text
-as written, and n-grams of the word-copy sequence (how often a word equals the
-one before it or the one two before, in steps).  An indicator is scaled by the
-log ratio of its smoothed counts in the two classes, a document's features are
-brought to length 1, and a linear hinge-loss model is fitted by dual coordinate
-descent.  Margins become scores by a logistic curve fitted on folds that the
-margins' models did not see.
+Features are indicators of n-grams, hashed to ``WIDTH`` places: byte trigrams of
+the text as written, and n-grams of one to ``SHAPES`` words' shapes.  A shape is
+a word's sequence of capital, small, digit and other characters, runs counted
+once; a word equal to the one before it has the shape ``=``.  An indicator is
+scaled by the log ratio of its smoothed counts in the two classes, a document's
+features are brought to length 1, and a linear hinge-loss model is fitted by
+dual coordinate descent.  Margins become scores by a logistic curve fitted on
+folds that the margins' models did not see.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those whose ids
 have the smallest hashes; its size is fixed, so it is broadcast.  Scores cover
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,26 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 16
 #: Most labelled documents that a model is fitted on.
 SAMPLE = 4000
-STEPS = (0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32, 0.64)
+#: Words in the longest n-gram of shapes, and words remembered with their shape.
+SHAPES, CACHE = 3, 200_000
 COST, EPOCHS, FOLDS = 1.0, 12, 4
 
 
+class Shapes(dict):
+    """Words to hashes of their shapes."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        shape = "".join(k for k, _ in groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+        self[word] = out = crc32(shape.encode("utf-8", "replace"))
+        return out
+
+
+SHAPE = Shapes()
+SAME = crc32(b"same word")
+
+
 def indicators(text: str | None) -> np.ndarray:
     """Places of a text's features, ascending, each once."""
     seen = np.zeros(WIDTH, bool)
@@ -39,11 +58,14 @@ def indicators(text: str | None) -> np.ndarray:
         code = raw[:-2] * np.uint32(40503) + raw[1:-1] * np.uint32(2654435) + raw[2:] * np.uint32(7919)
         seen[((code ^ (code >> np.uint32(11))) & np.uint32(WIDTH - 1))] = True
     words = text.split()
-    for gap in (1, 2):
-        if len(words) > 8 * gap:
-            share = sum(map(str.__eq__, words, words[gap:])) / (len(words) - gap)
-            level = int(np.searchsorted(STEPS, share))
-            seen[(np.arange(1, level + 1) * 977 + gap * 31337) % WIDTH] = True
+    if words:
+        same = np.fromiter(map(str.__eq__, words[1:], words), bool, len(words) - 1)
+        code = np.fromiter(map(SHAPE.__getitem__, words), np.uint64, len(words))
+        code[1:][same] = SAME
+        mixed = np.zeros(len(words), np.uint64)
+        for n in range(min(SHAPES, len(words))):
+            mixed = (mixed[: len(words) - n] + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15) + code[n:]
+            seen[(mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)] = True
     return np.flatnonzero(seen)
 
 
@@ -142,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """A model of ``labels`` (doc_id, ``label`` 0/1) from the texts of ``docs``.
 
     Labels that are null or other than 0 and 1 are left out; of a document's several labels the mean decides, half counting as 1.
+    Of several rows with one doc_id one counts, so the driver gets ``sample`` sets of at most ``WIDTH`` features.
     """
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("told")).where("doc_id IS NOT NULL AND told IN (0, 1)").where(may_learn(F.col("doc_id")))
     told = told.groupBy("doc_id").agg((F.avg("told") >= 0.5).cast("int").alias("told")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -152,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             places = [indicators(t.as_py()).astype("<u2").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.binary())], names=["doc_id", "told", "places"])
 
-    got = texts.join(F.broadcast(told), "doc_id").select("doc_id", "text", "told").mapInArrow(each, "doc_id long, told int, places binary").toArrow()
+    found = texts.join(F.broadcast(told), "doc_id").select("doc_id", "text", "told").mapInArrow(each, "doc_id long, told int, places binary")
+    got = found.groupBy("doc_id", "told").agg(F.min("places").alias("places")).toArrow()
     found = sorted(zip(got["doc_id"].to_pylist(), got["told"].to_pylist(), got["places"].to_pylist()))
     return fit_rows([np.frombuffer(p, "<u2").astype(np.int64) for _, _, p in found], np.array([t for _, t, _ in found], int))
 

@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and further spans chosen by boosted trees.
 
 The base spans are the matches of four fixed patterns that pass their checks;
-they always stay.  High-recall generators then propose further spans (spelled-out
-addresses, digit groups of 7 to 19 digits), which overlap each other and base
-spans freely.  Gradient-boosted trees over format and context features give each
+they always stay.  High-recall generators then propose further spans: spelled-out
+mail and network addresses, digit groups of 7 to 19 digits, and parts of base
+matches that failed because they ran into other digits.  Proposals overlap each
+other freely.  Gradient-boosted trees over format and context features give each
 a probability, and those at their kind's calibrated threshold are added, most
-probable first, if they overlap no span taken before.
+probable first, if they overlap no span taken before; base spans are taken first.
 
 The trees are trained here on findings that are labelled by construction: formats
 filled with digits and put into contexts with and without cues.  A share of them
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, FLOOR = 0.99, 0.9
 ROUNDS, DEPTH, RATE = 40, 3, 0.3
-SAMPLES, SEED = 3000, 11
+SAMPLES, SEED = 6000, 11
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,6 +41,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z.,+])\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,18}(?![0-9A-Za-z]|[.,][0-9])")
 _SPELLED = re.compile(r"(?i)(?<![\w.+-])[a-z0-9][\w.+-]{0,40} ?(?:@|\(at\)|\[at\]| at ) ?[a-z0-9-]{1,40}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[a-z]{2,12}){1,3}(?!\w)")
+_DEFANGED = re.compile(r"(?<![0-9.\[(\]])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9\[(])")
 #: Fixed cue words, lower case.
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "dial", "whatsapp"),
@@ -92,6 +95,27 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text):
         for m in _GROUPS.finditer(text):
             out += [(2, *m.span()), (3, *m.span())]
+        if "[" in text or "(" in text:
+            out += [(1, *m.span()) for m in _DEFANGED.finditer(text)]
+        for m in _PHONE.finditer(text) if "+" in text else ():
+            if not 8 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
+                out += [(3, m.start(), end) for end in _ends(text, m.start(), m.end(), 8, 15)]
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() > 19 and not (16 <= len(d := re.sub("[ -]", "", m.group()[:40])) <= 19 and m.end() - m.start() <= 37 and luhn(d)):
+                for g in re.finditer("[0-9]+", m.group()):
+                    out += [(2, m.start() + g.start(), end) for end in _ends(text, m.start() + g.start(), m.end(), 15, 19) if luhn(re.sub("[ -]", "", text[m.start() + g.start() : end]))]
+    return out
+
+
+def _ends(text: str, start: int, stop: int, least: int, most: int) -> list[int]:
+    """Ends of digit groups at which a span from ``start`` has between ``least`` and ``most`` digits."""
+    out, digits = [], 0
+    for i in range(start, stop):
+        digits += "0" <= text[i] <= "9"
+        if digits > most:
+            break
+        if digits >= least and "0" <= text[i] <= "9" and not (i + 1 < stop and "0" <= text[i + 1] <= "9"):
+            out.append(i + 1)
     return out
 
 
@@ -110,6 +134,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(sizes == [3, 3, 4]), float(len(groups) >= 3 and sizes[:-1] == [4] * (len(groups) - 1)), float("@" in span), float(bool(re.search(r"(?i)\bat\b", span))),
         float(bool(re.search(r"(?i)\bdot\b", span))), float(bool(re.search(r"(?i)\.(com|org|net|edu|de|fr|es|io)$|dot\)? ?(com|org|net|edu|de|fr|es|io)$|dot\] ?(com|org|net)$", span))),
         *cue, float(digits[:1] in ("3", "4", "5", "6")), float(before[-1:].isspace() or before == ""),
+        float(span[:1] == "+"), float(len(digits) == 10 + len(groups[0]) and sizes[1:] == [3, 3, 4]) if groups else 0.0, float("[" in span), float(all(int(g) <= 255 for g in groups[:4]) and sizes == [len(g) for g in groups[:4]]),
+        float(bool(re.match(r"[ ,;]*[0-9]{1,3}\.[0-9]", text[end : end + 8]))), float(bool(re.match(r"[ .-]?[0-9(]", text[end : end + 2]))),
     ]
 
 
@@ -205,6 +231,14 @@ def labelled_findings(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int
         (3, 1, "phone", lambda: pick(("-", " ", ".")).join((num(3), num(3), num(4)))),
         (3, 1, "phone", lambda: f"0{num(3)} {num(7)}"),
         (3, 1, "", lambda: f"({num(3)}) {num(3)}-{num(4)}"),
+        (3, 1, "phone", lambda: f"+{pick((num(1), num(2)))} ({num(3)}) {num(3)}-{num(4)}"),
+        (3, 1, "", lambda: f"+{pick((num(1), num(2)))}{pick((' ', '-', '.'))}{pick((' ', '-', '.')).join((num(3), num(3), num(4)))}"),
+        (3, 0, "", lambda: f"+{num(int(rng.integers(8, 15)))} {num(int(rng.integers(1, 4)))}"),
+        (3, 0, "other", lambda: f"+{num(2)} {num(3)} {num(2)}"),
+        (1, 1, "", lambda: pick(("[.]", "(.)", "[dot]", "(dot)")).join(str(int(rng.integers(0, 256))) for _ in range(4))),
+        (1, 0, "", lambda: pick(("[.]", "(.)", "[dot]")).join([str(int(rng.integers(256, 999))), *(num(3) for _ in range(3))])),
+        (2, 1, "", lambda: fours(card(16), pick((" ", "-")))),
+        (2, 0, "other", lambda: " ".join(num(int(rng.integers(1, 4))) for _ in range(7))),
         (3, 0, "", lambda: num(int(rng.integers(7, 20)))),
         (3, 0, "other", lambda: num(int(rng.integers(7, 20)))),
         (3, 0, "other", lambda: f"20{num(2)}-{num(2)}-{num(2)}"),
@@ -215,6 +249,7 @@ def labelled_findings(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int
         (3, 0, "", lambda: " ".join(num(int(rng.integers(1, 6))) for _ in range(4))),
         (3, 0, "", lambda: ".".join(num(int(rng.integers(1, 4))) for _ in range(4))),
     ]
+    makers += [m for m in makers if m[0] == 1] * 3  # the kind with the fewest
     out = []
     for i in range(n):
         kind, label, cue, make = makers[i % len(makers)]
@@ -222,7 +257,8 @@ def labelled_findings(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int
         lead = " ".join(word() for _ in range(int(rng.integers(0, 4))))
         if cue and rng.random() < 0.8:
             lead += " " + pick(CUES[cue]) + pick((" ", ": ", " is ", " "))
-        text = f"{lead} ".lstrip() + span + pick((" ", ". ", ", ")) + word()
+        tail = pick((f" {int(rng.integers(1, 256))}.{num(2)}.{num(2)}.{num(1)}", f" {num(4)} {word()}")) if label and kind > 1 and rng.random() < 0.3 else pick((" ", ". ", ", ")) + word()
+        text = f"{lead} ".lstrip() + span + tail
         start = text.index(span)
         out.append((text, kind, start, start + len(span), label))
     return out
@@ -247,21 +283,24 @@ def trained() -> Trees:
 def all_spans(text: str, trees: Trees) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the added ones; both by kind and start."""
     base = base_spans(text)
-    new = [s for s in proposals(text) if not any(s[1] < e and b < s[2] for _, b, e in base)] if len(base) < 64 else _apart(proposals(text), base)
+    new = _apart(sorted(set(proposals(text))), base)  # what overlaps a base span could never be added
     if not new:
         return base, base
     p = trees.probability(np.array([features(text, *s) for s in new]))
     taken: list[tuple[int, int, int]] = []
+    edges: list[tuple[int, int]] = []  # of spans taken, which lie apart, in order
     for i in np.lexsort(([s[1] for s in new], -p)).tolist():
-        if p[i] >= trees.threshold[new[i][0]] and not any(new[i][1] < e and b < new[i][2] for _, b, e in taken):
-            taken.append(new[i])
+        if p[i] >= trees.threshold[new[i][0]]:
+            _, start, end = new[i]
+            k = bisect_left(edges, (end, 0))
+            if not k or edges[k - 1][1] <= start:
+                edges.insert(k, (start, end))
+                taken.append(new[i])
     return base, sorted([*base, *taken]) if taken else base
 
 
 def _apart(spans: list[tuple], base: list[tuple]) -> list[tuple]:
-    """Of ``spans`` those that overlap no base span, for many base spans."""
-    from bisect import bisect_left
-
+    """Of ``spans`` those that overlap no base span."""
     marks = sorted((b, e) for _, b, e in base)
     reach, far = [], 0
     for _, e in marks:

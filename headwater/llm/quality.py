@@ -31,7 +31,9 @@ WIDTH = 1 << 16
 SAMPLE = 4000
 #: Words in the longest n-gram of shapes, and words remembered with their shape.
 SHAPES, CACHE = 3, 200_000
-COST, EPOCHS, FOLDS = 1.0, 12, 4
+COST, FOLDS = 1.0, 4
+#: Passes over the rows at most, and the step of a row below which it counts as solved.
+EPOCHS, STEP = 100, 0.002
 
 
 class Shapes(dict):
@@ -105,14 +107,18 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> t
     norm = np.array([float(v @ v) + 1.0 for v in x])
     w, bias, alpha = np.zeros(WIDTH), 0.0, np.zeros(len(rows))
     for _ in range(EPOCHS):
+        far = 0.0
         for i in rng.permutation(len(rows)):
             g = y[i] * (float(w[rows[i]] @ x[i]) + bias) - 1
             a = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if a != alpha[i]:
+                far = max(far, abs(a - alpha[i]) * norm[i])
                 d = (a - alpha[i]) * y[i]
                 w[rows[i]] += d * x[i]
                 bias += d
                 alpha[i] = a
+        if far < STEP:
+            break
     return w * ratios, bias
 
 

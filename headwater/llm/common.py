@@ -59,3 +59,14 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, for tables whose joins shuffle at any size.
+
+    The plan knows no size of it beforehand, so no join turns from a broadcast
+    into a shuffle as the input grows.
+    """
+    use_checkpoints(df.sparkSession)
+    make_importable(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import saved
+from headwater.llm.common import checkpointed as saved
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.llm.common import saved
+from headwater.llm.common import checkpointed as saved
 
 #: Words that a run holds at least to count as a repeat.
 WORDS = 50

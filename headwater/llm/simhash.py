@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.llm.common import saved
+from headwater.llm.common import checkpointed as saved
 from headwater.llm.graph import components
 
 RADIUS = 4

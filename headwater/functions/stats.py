@@ -1,9 +1,10 @@
 """Mergeable statistics: partials of zones, and their merges over catchments.
 
-A statistic of a catchment is computed from its subbasins' partials alone.  All
-variances come from the partial count, sum and centred sum of squares, so
-nothing is lost to cancellation in E[x^2] - E[x]^2 between zones of different
-means.  Registries map the names of statistics to columns.
+A statistic of a catchment is computed from its subbasins' partials alone.
+Partial variances are centred on their zone's mean.  Merged variances are taken
+about a pivot, the mean of one of the merged zones: what cancels then is no
+larger than that zone's own part of the variance.  Registries map the names of
+statistics to columns.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ def numeric_partials(x: str) -> dict[str, Column]:
     return {f"{x}_n": F.count(c), f"{x}_sum": F.sum(c), f"{x}_mean": F.avg(c), f"{x}_var": F.var_pop(c), f"{x}_min": F.min(c), f"{x}_max": F.max(c)}
 
 
-def weighted_partials(x: str, w: str) -> dict[str, Column]:
-    """Of one zone, rows with a null value or weight left out: weight, weighted sum, mean and population variance."""
+def weighted_partials(x: str, w: str, mean: str) -> dict[str, Column]:
+    """Of one zone, rows with a null value or weight left out: weight, weighted sum, mean and population variance; ``mean`` is the zone's weighted mean."""
     c, u = F.col(x).cast("double"), F.col(w).cast("double")
     held = F.when(c.isNotNull(), u)
     total = F.nullif(F.sum(held), F.lit(0.0))
-    mean = F.sum(c * u) / total
-    return {f"{x}_{w}_weight": F.sum(held), f"{x}_{w}_sum": F.sum(c * u), f"{x}_{w}_mean": mean, f"{x}_{w}_var": F.sum(c * c * u) / total - mean * mean}
+    away = c - F.col(mean)
+    return {f"{x}_{w}_weight": F.sum(held), f"{x}_{w}_sum": F.sum(c * u), f"{x}_{w}_mean": F.max(mean), f"{x}_{w}_var": F.sum(away * away * u) / total}
+
+
+def weighted_mean(x: str, w: str) -> Column:
+    c, u = F.col(x).cast("double"), F.col(w).cast("double")
+    return F.sum(c * u) / F.nullif(F.sum(F.when(c.isNotNull(), u)), F.lit(0.0))
 
 
 #: Merges of zones' partials n, mean and population variance: name to aggregate.
@@ -35,25 +41,38 @@ def merged_mean(n: str, mean: str) -> Column:
     return F.sum(both * F.col(mean)) / F.nullif(F.sum(both), F.lit(0.0))
 
 
-def merged_var_pop(n: str, mean: str, var: str) -> Column:
-    """Sum of n (v + (m - mu)^2) over sum of n, with mu the merged mean."""
+def merged_var_pop(n: str, mean: str, var: str, pivot: str) -> Column:
+    """Sum of n (v + (m - mu)^2) over sum of n, with mu the merged mean.
+
+    ``pivot`` is a column that is constant in a group, the mean of one of its zones.
+    """
     k = F.when(F.col(n).isNotNull() & F.col(mean).isNotNull() & F.col(var).isNotNull(), F.col(n))
-    total = F.nullif(F.sum(k), F.lit(0.0))
-    mu = F.sum(k * F.col(mean)) / total
-    found = F.sum(k * (F.col(var) + F.col(mean) * F.col(mean))) / total - mu * mu
+    total, away = F.nullif(F.sum(k), F.lit(0.0)), F.col(mean) - F.coalesce(F.col(pivot), F.lit(0.0))
+    shift = F.sum(k * away) / total
+    found = F.sum(k * (F.col(var) + away * away)) / total - shift * shift
     return F.when(found < 0, 0.0).otherwise(found)  # greatest() would turn a null into 0
 
 
-def merged_var_samp(n: str, mean: str, var: str) -> Column:
+def merged_var_samp(n: str, mean: str, var: str, pivot: str) -> Column:
     """The population variance times N / (N - 1); null where N is at most 1."""
     total = F.sum(F.when(F.col(n).isNotNull() & F.col(mean).isNotNull() & F.col(var).isNotNull(), F.col(n)))
-    return F.when(total > 1, merged_var_pop(n, mean, var) * total / (total - 1))
+    return F.when(total > 1, merged_var_pop(n, mean, var, pivot) * total / (total - 1))
+
+
+def compat_var_samp(n: str, mean: str, var_samp: str, pivot: str) -> Column:
+    """The older convention: partial variances are sample variances yet rescaled by n / (n - 1), and zones of one cell are left out."""
+    some = F.col(n) > 1
+    k = F.when(some & F.col(mean).isNotNull() & F.col(var_samp).isNotNull(), F.col(n))
+    total, away = F.nullif(F.sum(k), F.lit(0.0)), F.col(mean) - F.coalesce(F.col(pivot), F.lit(0.0))
+    shift = F.sum(k * away) / total
+    inside = F.sum(F.when(some, (k - 1) * F.col(var_samp) * k / F.nullif(k - 1, F.lit(0))))
+    return (inside + F.sum(k * away * away) - total * shift * shift) / F.nullif(total - 1, F.lit(0.0))
 
 
 NUMERIC: dict[str, Callable[[str], Column]] = {
     "mean": lambda x: merged_mean(f"{x}_n", f"{x}_mean"),
-    "sd": lambda x: F.sqrt(merged_var_samp(f"{x}_n", f"{x}_mean", f"{x}_var")),
-    "variance": lambda x: merged_var_samp(f"{x}_n", f"{x}_mean", f"{x}_var"),
+    "sd": lambda x: F.sqrt(merged_var_samp(f"{x}_n", f"{x}_mean", f"{x}_var", f"{x}_pivot")),
+    "variance": lambda x: merged_var_samp(f"{x}_n", f"{x}_mean", f"{x}_var", f"{x}_pivot"),
     "min": lambda x: F.min(f"{x}_min"),
     "max": lambda x: F.max(f"{x}_max"),
     "sum": lambda x: F.sum(f"{x}_sum"),
@@ -61,8 +80,8 @@ NUMERIC: dict[str, Callable[[str], Column]] = {
 
 WEIGHTED: dict[str, Callable[[str, str], Column]] = {
     "mean": lambda x, w: merged_mean(f"{x}_{w}_weight", f"{x}_{w}_mean"),
-    "sd": lambda x, w: F.sqrt(merged_var_pop(f"{x}_{w}_weight", f"{x}_{w}_mean", f"{x}_{w}_var")),
-    "variance": lambda x, w: merged_var_pop(f"{x}_{w}_weight", f"{x}_{w}_mean", f"{x}_{w}_var"),
+    "sd": lambda x, w: F.sqrt(merged_var_pop(f"{x}_{w}_weight", f"{x}_{w}_mean", f"{x}_{w}_var", f"{x}_{w}_pivot")),
+    "variance": lambda x, w: merged_var_pop(f"{x}_{w}_weight", f"{x}_{w}_mean", f"{x}_{w}_var", f"{x}_{w}_pivot"),
     "sum": lambda x, w: F.sum(f"{x}_{w}_sum"),
 }
 

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.functions.steps import saved
 from headwater.operators.graph import closure
 
 COLUMNS = ["origin", "destination", "directed_path_length", "prop_shared_catchment", "prop_shared_logcatchment", "undirected_path_length"]
 
 
-def link_closure(links: DataFrame) -> DataFrame:
-    return closure(links.select(F.col("link_id").alias("id"), F.col("ds_link_id").alias("ds"))).drop("hops")
+def link_closure(links: DataFrame, destinations: DataFrame | None = None, origins: DataFrame | None = None) -> DataFrame:
+    """``origin, destination`` of all links, or of those that end or start at the links given (link_id)."""
+    ids = lambda df: None if df is None else df.select(F.col("link_id").alias("id"))
+    return closure(links.select(F.col("link_id").alias("id"), F.col("ds_link_id").alias("ds")), ids(destinations), ids(origins)).drop("hops")
 
 
 def catchment_areas(links: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -36,6 +39,7 @@ def flow_connected(links: DataFrame, all_links: bool = False, pairs: DataFrame |
     walked = pairs.join(origins.select(F.col("link_id").alias("origin")), "origin", "left_semi").join(lengths, "destination")
     walked = walked.withColumn("directed_path_length", F.sum("link_lngth").over(path)).select("origin", "destination", "directed_path_length").distinct()
     area = catchment_areas(links, pairs)
+    area = saved(area)
     both = walked.join(area.select(F.col("link_id").alias("origin"), F.col("area").alias("o")), "origin", "left").join(area.select(F.col("link_id").alias("destination"), F.col("area").alias("d")), "destination", "left")
     flows = F.col("directed_path_length") > 0
     return both.select(
@@ -46,23 +50,26 @@ def flow_connected(links: DataFrame, all_links: bool = False, pairs: DataFrame |
     )
 
 
-def flow_unconnected(connected: DataFrame) -> DataFrame:
+def flow_unconnected(connected: DataFrame, links: DataFrame) -> DataFrame:
     """Distances between sites that share a downstream link but lie in separate branches.
 
-    Both running lengths include the link where the paths meet; the least sum over
-    all meeting links counts.  Pairs that are connected in either direction are
-    left out.  Meeting links far downstream are hot keys: nothing but the join's
-    own exchanges stands below it, so adaptive execution can split them.
+    Two paths meet at the one link where they come from different links
+    upstream, and every later common link is farther.  So each pair is formed
+    once, at its meeting: a path's rows there are keyed by the branch that it
+    comes through and joined over the pairs of sibling branches.  Both running
+    lengths include the link where the paths meet.  What comes out is what is
+    joined: a large confluence has as many rows as pairs, which adaptive
+    execution can split, as the sides are saved tables.
     """
-    legs = connected.select("origin", F.col("destination").alias("midpoint"), F.col("directed_path_length").alias("leg"))
-    other = legs.select(F.col("origin").alias("destination"), "midpoint", F.col("leg").alias("leg2"))
-    met = legs.join(other, "midpoint").where("origin != destination")
-    found = met.groupBy("origin", "destination").agg(F.min(F.col("leg") + F.col("leg2")).alias("undirected_path_length"))
-    known = connected.select("origin", "destination")
-    found = found.join(known, ["origin", "destination"], "left_anti")
-    found = found.join(known.select(F.col("destination").alias("origin"), F.col("origin").alias("destination")), ["origin", "destination"], "left_anti")
+    below = links.where("ds_link_id IS NOT NULL").select(F.col("link_id").alias("branch"), F.col("ds_link_id").alias("meeting"))
+    length = links.select(F.col("link_id").alias("meeting"), "link_lngth")
+    legs = connected.select("origin", F.col("destination").alias("branch"), "directed_path_length").join(below, "branch").join(length, "meeting")
+    legs = saved(legs.select("origin", "branch", (F.col("directed_path_length") + F.col("link_lngth")).alias("leg")))
+    siblings = below.join(below.withColumnRenamed("branch", "other"), "meeting").where("branch <> other").select("branch", "other")
+    across = saved(legs.join(siblings, "branch").select("origin", F.col("other").alias("branch"), "leg"))
+    found = across.join(legs.select(F.col("origin").alias("destination"), "branch", F.col("leg").alias("leg2")), "branch")
     zero = F.lit(0.0)
-    return found.select("origin", "destination", F.lit(0).cast("long").alias("directed_path_length"), zero.alias("prop_shared_catchment"), zero.alias("prop_shared_logcatchment"), "undirected_path_length")
+    return found.select("origin", "destination", F.lit(0).cast("long").alias("directed_path_length"), zero.alias("prop_shared_catchment"), zero.alias("prop_shared_logcatchment"), (F.col("leg") + F.col("leg2")).alias("undirected_path_length"))
 
 
 def upstream_distance(links: DataFrame) -> DataFrame:

@@ -34,24 +34,52 @@ def jumps(edges: DataFrame) -> Iterator[DataFrame]:
     raise CycleError(f"paths longer than 2**{LIMIT} or a cycle")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """``origin, destination, hops``: every node with each node downstream of it, itself included."""
-    pairs = edges.select(F.col("id").alias("origin"), F.col("id").alias("destination"), F.lit(0).alias("hops"))
+def closure(edges: DataFrame, destinations: DataFrame | None = None, origins: DataFrame | None = None) -> DataFrame:
+    """``origin, destination, hops``: every node with each node downstream of it, itself included.
+
+    With ``destinations`` or ``origins`` (id) only pairs that end or start there
+    are formed.  Each round is one join of the pairs found so far with a step,
+    and only its new pairs are written.
+    """
+    if destinations is not None and origins is not None:
+        raise ValueError("give destinations or origins")
+    wanted = edges.select("id") if destinations is None and origins is None else (destinations if destinations is not None else origins).select("id").distinct().join(edges.select("id"), "id", "left_semi")
+    pairs = saved(wanted.select(F.col("id").alias("origin"), F.col("id").alias("destination"), F.lit(0).alias("hops")))
     for k, step in enumerate(jumps(edges)):
-        further = pairs.select(F.col("origin").alias("to"), "destination", "hops")
-        pairs = pairs.union(step.join(further, "to").select(F.col("id").alias("origin"), "destination", (F.col("hops") + 2**k).alias("hops")))
+        hops = (F.col("hops") + 2**k).alias("hops")
+        if origins is None:
+            new = step.join(pairs.withColumnRenamed("origin", "to"), "to").select(F.col("id").alias("origin"), "destination", hops)
+        else:
+            new = pairs.join(step.withColumnRenamed("id", "destination"), "destination").select("origin", F.col("to").alias("destination"), hops)
+        pairs = pairs.union(saved(new))
     return pairs
 
 
-def upstream_sum(nodes: DataFrame, value: str) -> DataFrame:
+def upstream_sum(nodes: DataFrame, value: str, steps: list[DataFrame] | None = None) -> DataFrame:
     """``id, total``: the sum of ``value`` over each node and all nodes upstream of it, without forming the pairs."""
     total = nodes.select("id", F.col(value).alias("total"))
-    for step in jumps(nodes.select("id", "ds")):
+    for step in steps if steps is not None else jumps(nodes.select("id", "ds")):
         added = step.join(total, "id").groupBy(F.col("to").alias("id")).agg(F.sum("total").alias("added"))
         total = saved(total.join(added, "id", "left").select("id", (F.col("total") + F.coalesce("added", F.lit(0))).alias("total")))
     return total
 
 
+def longest_upstream(nodes: DataFrame, value: str) -> DataFrame:
+    """``id, longest``: the largest sum of ``value`` along any one path that ends above each node; 0 where nothing flows in.
+
+    Each node carries the longest path found so far and the sum up to its next
+    jump, so no pairs are formed.
+    """
+    state = nodes.select("id", F.lit(0).cast(nodes.schema[value].dataType).alias("longest"), F.col(value).alias("way"))
+    for step in jumps(nodes.select("id", "ds")):
+        ahead = step.join(state, "id")
+        over = ahead.groupBy(F.col("to").alias("id")).agg(F.max(F.col("longest") + F.col("way")).alias("found"))
+        on = step.join(state.select(F.col("id").alias("to"), F.col("way").alias("more")), "to").select("id", "more")
+        state = state.join(over, "id", "left").join(on, "id", "left")
+        state = saved(state.select("id", F.greatest("longest", F.coalesce("found", "longest")).alias("longest"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way")))
+    return state.select("id", "longest")
+
+
 def downstream_sum(nodes: DataFrame, value: str) -> DataFrame:
     """``id, total, outlet``: the sum of ``value`` over each node and all nodes downstream, and the last of these."""
     state = nodes.select("id", F.col(value).alias("total"), F.col("id").alias("outlet"))
@@ -80,24 +108,37 @@ def antichains(edges: DataFrame) -> DataFrame:
     A node's group is the length of the longest chain upstream of it (Mirsky);
     nodes of one group are then never in relation.
     """
-    longest = closure(edges).groupBy(F.col("destination").alias("id")).agg(F.max("hops").alias("level"))
+    longest = longest_upstream(edges.withColumn("one", F.lit(1)), "one").select("id", F.col("longest").alias("level"))
     named = longest.withColumn("unn_group", F.concat(F.lit("g"), F.lpad(F.col("level").cast("string"), 5, "0")))
     sizes = named.groupBy("unn_group").agg(F.count("*").alias("unn_group_size"))
     return named.join(sizes, "unn_group").select("id", "unn_group", "unn_group_size")
 
 
 def strahler(edges: DataFrame) -> DataFrame:
-    """``id, strahler``: 1 at heads; the largest order upstream, plus 1 where two or more tie at it."""
-    inflow = edges.where("ds IS NOT NULL").groupBy(F.col("ds").alias("id")).agg(F.count("*").alias("inflow"))
-    state = saved(edges.join(inflow, "id", "left").select("id", "ds", F.coalesce("inflow", F.lit(0)).alias("inflow"), F.when(F.col("inflow").isNull(), 1).alias("strahler")))
-    for _ in range(1 << 20):
-        if state.where("strahler IS NULL").isEmpty():
-            return state.select("id", "strahler")
-        known = state.where("strahler IS NOT NULL AND ds IS NOT NULL").groupBy(F.col("ds").alias("id")).agg(F.count("*").alias("n"), F.max("strahler").alias("top"), F.collect_list("strahler").alias("all"))
-        ties = F.size(F.filter("all", lambda x: x == F.col("top")))
-        order = F.coalesce("strahler", F.when(F.col("n") == F.col("inflow"), F.col("top") + (ties > 1).cast("int")))
-        step = saved(state.join(known, "id", "left").select("id", "ds", "inflow", order.alias("strahler")))
-        if step.where("strahler IS NULL").count() == state.where("strahler IS NULL").count():
-            raise CycleError("no progress: the edges hold a cycle")
-        state = step
-    raise CycleError("too many rounds")
+    """``id, strahler``: 1 at heads; the largest order upstream, plus 1 where two or more tie at it.
+
+    A node's order exceeds k if somewhere upstream, itself included, two nodes of
+    order k or more meet.  So the orders come one by one, each from the meetings
+    of the last by a sum over everything upstream; there are at most log2 of the
+    nodes' number.
+    """
+    steps = list(jumps(edges))
+    order = saved(edges.select("id", "ds", F.lit(1).alias("strahler")))
+    for k in range(1, 64):
+        meets = order.where((F.col("strahler") >= k) & F.col("ds").isNotNull()).groupBy(F.col("ds").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(1).alias("meets"))
+        meets = saved(meets)
+        if meets.isEmpty():
+            return order.select("id", "strahler")
+        marked = edges.select("id").join(meets, "id", "left").select("id", F.coalesce("meets", F.lit(0)).cast("long").alias("meets"))
+        above = upstream_sum(marked, "meets", steps)
+        order = saved(order.join(above, "id").select("id", "ds", F.when(F.col("total") > 0, k + 1).otherwise(F.col("strahler")).alias("strahler")))
+    raise CycleError("orders beyond any tree's")
+
+
+def path_max(nodes: DataFrame, value: str) -> DataFrame:
+    """``id, top, outlet``: the largest ``value`` over each node and all downstream but the last of these, the outlet; null at outlets."""
+    state = nodes.select("id", F.when(F.col("ds").isNotNull(), F.col(value)).alias("top"), F.col("id").alias("outlet"))
+    for step in jumps(nodes.select("id", "ds")):
+        ahead = state.select(F.col("id").alias("to"), F.col("top").alias("more"), F.col("outlet").alias("end"))
+        state = saved(state.join(step, "id", "left").join(ahead, "to", "left").select("id", F.greatest("top", "more").alias("top"), F.coalesce("end", "outlet").alias("outlet")))
+    return state

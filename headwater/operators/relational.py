@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.functions.steps import saved
+
 
 def all_min(df: DataFrame, keys: list[str]) -> DataFrame:
     """The least of every other column by ``keys``."""
@@ -44,3 +46,17 @@ def nearest_within(sites: DataFrame, spots: DataFrame, reach: float) -> DataFram
     met = own.join(near, ["bx", "by"]).withColumn("distance", gap).where(F.col("distance") <= reach)
     best = met.groupBy("id").agg(F.min(F.struct("distance", "near_id")).alias("best"))
     return sites.select("id").join(best, "id", "left").select("id", "best.near_id", "best.distance")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame:
+    """``df`` with row numbers from 1 in the given order, without one task for the table.
+
+    Rows are split by ranges and numbered within them; a range's numbers start
+    behind the rows of the ranges before it, whose counts are all that is
+    gathered.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    inside = saved(ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order))))
+    counts = inside.groupBy("__part").agg(F.count("*").alias("__c"))
+    before = counts.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__b"))
+    return inside.join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.col("__b")).drop("__part", "__n", "__b")

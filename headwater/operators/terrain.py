@@ -76,23 +76,43 @@ def flow_distance(pointers: DataFrame, targets: DataFrame, cell: float = 1.0) ->
     return walked.join(ends, "outlet", "left").select(F.col("id").alias("cell_id"), F.when(F.col("reached"), F.col("outlet")).alias("target"), F.when(F.col("reached"), F.col("total")).alias("distance"))
 
 
-def fill_depressions(cells: DataFrame, elev: str = "elev", rounds: int = 10_000) -> DataFrame:
+#: Label of what drains to the edge of the grid.
+OUTSIDE = -1
+
+
+def fill_depressions(cells: DataFrame, elev: str = "elev") -> DataFrame:
     """``cell_id, filled``: elevations raised to their spill level, so that every cell drains to the edge.
 
-    Cells with fewer than eight neighbours keep their elevation; all others sink
-    from infinity to the least level that a neighbour lets them have, round by
-    round, until nothing changes.
+    Cells with fewer than eight neighbours are the edge and keep their elevation.
+    Every other cell belongs to the pit that its flow ends in.  Basins spill over
+    the lowest pass to another basin; in each round every basin points over its
+    lowest pass, those whose pointers lead outside are settled by the highest
+    pass on the way, and those that point at each other merge.  A round at least
+    halves the basins, so rounds grow with the logarithm of their number.
     """
-    near = saved(neighbours(cells).select("cell_id", "n_cell_id"))
-    edge = near.groupBy("cell_id").agg(F.count("*").alias("n")).where("n < 8")
-    state = saved(cells.join(edge, "cell_id", "left").select("cell_id", F.col(elev).alias("z"), F.when(F.col("n").isNotNull(), F.col(elev)).otherwise(F.lit(float("inf"))).alias("filled")))
-    for _ in range(rounds):
-        low = near.join(state.select(F.col("cell_id").alias("n_cell_id"), F.col("filled").alias("f")), "n_cell_id").groupBy("cell_id").agg(F.min("f").alias("low"))
-        step = saved(state.join(low, "cell_id", "left").select("cell_id", "z", F.least("filled", F.greatest("z", "low")).alias("filled"), (F.greatest("z", "low") < F.col("filled")).alias("moved")))
-        state = step.select("cell_id", "z", "filled")
-        if step.where("moved").isEmpty():
-            return state.select("cell_id", "filled")
-    raise ValueError("not filled within the rounds given")
+    near = saved(neighbours(cells, elev).join(cells.select("cell_id", F.col(elev).alias("z")), "cell_id").select("cell_id", "n_cell_id", "z", F.col(f"n_{elev}").alias("n_z")))
+    edge = near.groupBy("cell_id").agg(F.count("*").alias("n")).where("n < 8").select("cell_id", F.lit(True).alias("edge"))
+    pointers = d8_pointer(cells, elev).join(edge, "cell_id", "left")
+    ends = graph.downstream_sum(pointers.select(F.col("cell_id").alias("id"), F.when(F.col("edge").isNull(), F.col("ds")).alias("ds"), F.lit(1).alias("one")), "one")
+    ends = ends.join(edge.withColumnRenamed("cell_id", "outlet"), "outlet", "left")
+    basin = saved(ends.select(F.col("id").alias("cell_id"), F.when(F.col("edge"), OUTSIDE).otherwise(F.col("outlet")).alias("basin")))
+    passes = near.join(basin, "cell_id").join(basin.select(F.col("cell_id").alias("n_cell_id"), F.col("basin").alias("other")), "n_cell_id").where("basin <> other")
+    passes = saved(passes.groupBy(F.col("basin").alias("a"), F.col("other").alias("b")).agg(F.min(F.greatest("z", "n_z")).alias("h")))
+    levels = saved(basin.select(F.col("basin").alias("id")).distinct().select("id", F.col("id").alias("group"), F.lit(None).cast("double").alias("level")))
+    while not passes.where(F.col("a") != OUTSIDE).isEmpty():
+        best = passes.where(F.col("a") != OUTSIDE).groupBy("a").agg(F.min(F.struct("h", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")).alias("x"))
+        best = saved(best.select(F.col("a").alias("id"), F.col("x.b").alias("ds"), F.col("x.h").alias("h")))
+        back = best.select(F.col("id").alias("ds"), F.col("ds").alias("back"))
+        mutual = (F.col("back") == F.col("id")) & (F.col("id") < F.col("ds"))
+        tree = best.join(back, "ds", "left").select("id", F.when(F.coalesce(mutual, F.lit(False)), None).otherwise(F.col("ds")).alias("ds"), "h")
+        outside = cells.sparkSession.range(1).select(F.lit(OUTSIDE).cast("long").alias("id"), F.lit(None).cast("long").alias("ds"), F.lit(None).cast("double").alias("h"))
+        ended = saved(graph.path_max(saved(tree.select(F.col("id").cast("long").alias("id"), F.col("ds").cast("long").alias("ds"), F.col("h").cast("double").alias("h")).union(outside)), "h"))
+        levels = saved(levels.join(ended.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("outlet", "group").alias("group"), F.greatest("level", "top").alias("level")))
+        new = lambda c: ended.select(F.col("id").alias(c), F.col("outlet").alias(f"to_{c}"))
+        passes = passes.join(new("a"), "a").join(new("b"), "b").where("to_a <> to_b").groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(F.min("h").alias("h"))
+        passes = saved(passes)
+    found = cells.select("cell_id", F.col(elev).alias("z")).join(basin, "cell_id").join(levels.select(F.col("id").alias("basin"), "level"), "basin", "left")
+    return found.select("cell_id", F.greatest("z", "level").alias("filled"))
 
 
 def breach_depressions(cells: DataFrame, elev: str = "elev", rounds: int = 10_000) -> DataFrame:
@@ -102,7 +122,7 @@ def breach_depressions(cells: DataFrame, elev: str = "elev", rounds: int = 10_00
     keeps its elevation, and every cell on its way out is lowered to at most it.
     The way out follows the filled surface, then the smallest cell id.
     """
-    filled = saved(cells.join(fill_depressions(cells, elev, rounds), "cell_id"))
+    filled = saved(cells.join(fill_depressions(cells, elev), "cell_id"))
     near = saved(neighbours(filled, "filled").join(filled.select("cell_id", "filled", F.col(elev).alias("z")), "cell_id"))
     way = near.where(F.col("n_filled") <= F.col("filled")).groupBy("cell_id").agg(F.min(F.struct("n_filled", "n_cell_id")).alias("b")).select("cell_id", F.col("b.n_cell_id").alias("to"))
     way = saved(way)

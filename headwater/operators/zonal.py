@@ -9,20 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.functions.stats import NUMERIC, WEIGHTED, numeric_partials, weighted_partials
+from headwater.functions.stats import NUMERIC, WEIGHTED, numeric_partials, weighted_mean, weighted_partials
 
 
 def zone_partials(cells: DataFrame, zone: str, numeric: list[str], categories: dict[str, list], weights: list[str]) -> DataFrame:
     """A row for each zone: partials of numeric columns, category counts, both plain and weighted, and cell counts.
 
     ``categories`` maps a column to its values; a category's column is
-    ``{column}_{value}``.  ``n_cells`` counts null cells too.
+    ``{column}_{value}``.  ``n_cells`` counts null cells too.  Weighted variances
+    are about the zone's mean, which a first pass over the cells finds.
     """
+    if weights and numeric:
+        means = cells.groupBy(zone).agg(*[weighted_mean(x, w).alias(f"__{x}_{w}") for x in numeric for w in weights])
+        cells = cells.join(means, zone)
     out = {"n_cells": F.count(F.lit(1))}
     for x in numeric:
         out |= numeric_partials(x)
         for w in weights:
-            out |= weighted_partials(x, w)
+            out |= weighted_partials(x, w, f"__{x}_{w}")
     for c, values in categories.items():
         for v in values:
             hit = F.col(c) == F.lit(v)
@@ -50,6 +54,12 @@ def merge_over(pairs: DataFrame, partials: DataFrame, zone: str, numeric: list[s
             for w in weights:
                 out[f"{c}_{v}_{w}_prop"] = F.sum(f"{c}_{v}_{w}_n") / F.nullif(F.sum(f"{w}_total"), F.lit(0.0))
     joined = pairs.join(partials.withColumnRenamed(zone, "origin"), "origin")
+    # variances are about the mean of the catchment's lowest zone, or of all zones where that has none
+    means = [*(x for x in numeric), *(f"{x}_{w}" for x in numeric for w in weights)]
+    if means:
+        over = partials.agg(*[F.avg(f"{m}_mean").alias(m) for m in means]).first()
+        pivots = partials.select(F.col(zone).alias("destination"), *[F.col(f"{m}_mean").alias(f"{m}_pivot") for m in means])
+        joined = joined.join(pivots, "destination", "left").fillna({f"{m}_pivot": over[m] for m in means if over[m] is not None})
     return joined.groupBy(F.col("destination").alias("link_id")).agg(*[c.alias(n) for n, c in out.items()])
 
 

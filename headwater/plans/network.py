@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from headwater.operators import distance, graph
+from headwater.functions.steps import saved
+from headwater.operators import distance, graph, sites
+from headwater.operators.relational import numbered
 from headwater.plans.views import CLOSURE, FEW, LINKS, few_links, links, table
 
 
@@ -16,6 +20,8 @@ def rounded(df, *names, places=4):
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+#: Sites asked for by name.
+TARGETS = list(range(0, 200_000, 100))
 PROPS = ("prop_shared_catchment", "prop_shared_logcatchment")
 
 
@@ -43,13 +49,12 @@ def net9(spark, d):
 
 
 def net9_all(spark, d):
-    return rounded(distance.flow_connected(few_links(spark, d), all_links=True), *PROPS)
+    return rounded(distance.flow_connected(links(spark, d), all_links=True), *PROPS)
 
 
 def net11(spark, d):
-    from headwater.functions.steps import saved
-
-    return distance.flow_unconnected(saved(distance.flow_connected(few_links(spark, d))))
+    some = links(spark, d)
+    return distance.flow_unconnected(saved(distance.flow_connected(some)), some)
 
 
 def net12(spark, d):
@@ -57,40 +62,32 @@ def net12(spark, d):
 
 
 def net13(spark, d):
-    some = links(spark, d)
-    sites = some.where("site_id IS NOT NULL AND site_id % 100 = 0").select("link_id")
-    return sites.union(some.where("link_id < 50").select("link_id")).distinct()
+    return sites.resolve_targets(links(spark, d), site_ids=TARGETS, link_ids=list(range(50)))
 
 
 def net14(spark, d):
-    pairs = distance.link_closure(links(spark, d)).where("destination < 40")
-    return pairs.groupBy(F.col("destination").alias("link_id")).agg(F.count("*").alias("n_cells"), F.sum("origin").alias("cell_sum"))
+    """Cells of every catchment, as link sets."""
+    return distance.link_closure(links(spark, d)).groupBy(F.col("destination").alias("link_id")).agg(F.count("*").alias("n_cells"), F.sum("origin").alias("cell_sum"))
 
 
 def net15(spark, d):
-    pairs = distance.link_closure(links(spark, d))
+    """Every catchment, those of each fourth link from the cache and the others computed."""
+    some = links(spark, d)
+    pairs = saved(distance.link_closure(some))
     cached = pairs.where("destination % 4 = 0").select(F.col("destination").alias("link_id"), "origin")
-    wanted = links(spark, d).where("link_id < 100").select("link_id")
-    missing = wanted.join(cached.select("link_id").distinct(), "link_id", "left_anti")
-    new = pairs.withColumnRenamed("destination", "link_id").join(missing, "link_id", "left_semi").select("link_id", "origin")
-    return cached.join(wanted, "link_id", "left_semi").unionByName(new)
+    return sites.catchments(pairs, some, cached)[0]
 
 
 def net17(spark, d):
-    pairs = distance.link_closure(links(spark, d))
-    up = pairs.where("destination = 7").select(F.col("origin").alias("link_id"))
-    down = pairs.where("origin = 77").select(F.col("destination").alias("link_id"))
+    some, one = links(spark, d), lambda k: spark.createDataFrame([(k,)], "link_id long")
+    up = distance.link_closure(some, destinations=one(7)).select(F.col("origin").alias("link_id"))
+    down = distance.link_closure(some, origins=one(77)).select(F.col("destination").alias("link_id"))
     return up.union(down).distinct()
 
 
 def ras17(spark, d):
-    some = links(spark, d)
-    lengths = some.select(F.col("link_id").alias("destination"), "link_lngth", "us_len")
-    from pyspark.sql import Window
-
-    path = Window.partitionBy("origin").orderBy("us_len", "destination").rowsBetween(Window.unboundedPreceding, 0)
-    walked = distance.link_closure(some).join(lengths, "destination").withColumn("walked", F.sum("link_lngth").over(path))
-    return walked.groupBy(F.col("destination").alias("link_id")).agg(F.max("walked").alias("farthest_head"))
+    nodes = links(spark, d).select(F.col("link_id").alias("id"), F.col("ds_link_id").alias("ds"), "link_lngth")
+    return nodes.join(graph.longest_upstream(nodes, "link_lngth"), "id").select(F.col("id").alias("link_id"), (F.col("longest") + F.col("link_lngth")).alias("farthest_head"))
 
 
 def ras18(spark, d):
@@ -140,14 +137,6 @@ def ras23(spark, d):
     return joined.join(top, "trib_id").select("link_id", "horton")
 
 
-def ras14(spark, d):
-    some = links(spark, d)
-    inflow = some.where("ds_link_id IS NOT NULL").groupBy(F.col("ds_link_id").alias("link_id")).agg(F.count("*").alias("n"))
-    kind = F.when(F.col("n").isNull(), 1).when(F.col("ds_link_id").isNull(), 5).otherwise(2)
-    label = F.when(F.col("n").isNull(), "Exterior Link").when(F.col("ds_link_id").isNull(), "Sink Node").otherwise("Interior Link")
-    return some.join(inflow, "link_id", "left").select("link_id", kind.alias("link_class"), label.alias("link_type"))
-
-
 def exp1(spark, d):
     some = links(spark, d)
     area = distance.catchment_areas(some, distance.link_closure(some))
@@ -162,61 +151,66 @@ def exp4(spark, d):
     return rounded(distance.additive_function(links(spark, d)), "influence", "afv", places=6)
 
 
-def both_distances(spark, d):
-    from headwater.functions.steps import saved
-
-    connected = saved(distance.flow_connected(few_links(spark, d)))
+def both_distances(some):
+    connected = saved(distance.flow_connected(some))
     tag = lambda df, t: df.withColumn("dist_type", F.lit(t))
-    return tag(connected, "Flow Connected").unionByName(tag(distance.flow_unconnected(connected), "Flow Unconnected"))
+    return tag(connected, "Flow Connected").unionByName(tag(distance.flow_unconnected(connected, some), "Flow Unconnected"))
 
 
 def ana1(spark, d):
-    return rounded(both_distances(spark, d), *PROPS)
+    return rounded(both_distances(links(spark, d)), *PROPS)
 
 
 def ana2(spark, d):
-    some = both_distances(spark, d).where("origin < 8 AND destination < 8").select("origin", "destination", "undirected_path_length").distinct()
-    wide = some.groupBy("origin").pivot("destination", list(range(8))).agg(F.first("undirected_path_length")).fillna(0)
-    return wide.select("origin", *[F.round(F.log1p(F.col(str(k)).cast("double")), 6).alias(f"d{k}") for k in range(8)])
+    """A row for each site, a column for each; the sites of the small network are few enough for columns."""
+    some = few_links(spark, d)
+    ids = sorted(r.link_id for r in some.select("link_id").collect())
+    pairs = both_distances(some).select("origin", "destination", "undirected_path_length").distinct()
+    wide = pairs.groupBy("origin").pivot("destination", ids).agg(F.first("undirected_path_length")).fillna(0)
+    return wide.select("origin", *[F.round(F.log1p(F.col(str(k)).cast("double")), 6).alias(str(k)) for k in ids])
 
 
 def ana3(spark, d):
-    m = distance.flow_connected(few_links(spark, d)).where("origin < 20").select("origin", "destination", F.expr("directed_path_length * prop_shared_catchment").alias("v"))
+    m = saved(distance.flow_connected(few_links(spark, d)).select("origin", "destination", F.expr("directed_path_length * prop_shared_catchment").alias("v")))
     other = m.select(F.col("origin").alias("other"), "destination", F.col("v").alias("v2"))
-    own = m.select("origin").distinct()
-    grid = own.join(own.select(F.col("origin").alias("other")), F.col("origin") < F.col("other"))
-    spots = grid.join(m.select("origin", "destination"), "origin").union(grid.join(other.select("other", "destination"), "other").select("origin", "other", "destination")).distinct()
-    full = spots.join(m, ["origin", "destination"], "left").join(other, ["other", "destination"], "left")
-    gap = F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("v2", F.lit(0.0)))
-    return full.groupBy("origin", "other").agg(F.round(F.sum(gap), 4).alias("manhattan"))
+    # sum |a - b| is the sum of both rows where one of a and b is 0, and |a - b| - a - b where both are not
+    whole = m.groupBy("origin").agg(F.sum("v").alias("s"))
+    shared = m.join(other, "destination").where("origin < other").groupBy("origin", "other").agg(F.sum(F.abs(F.col("v") - F.col("v2")) - F.col("v") - F.col("v2")).alias("gain"))
+    pairs = shared.join(whole, "origin").join(whole.select(F.col("origin").alias("other"), F.col("s").alias("s2")), "other")
+    return pairs.select("origin", "other", F.round(F.col("gain") + F.col("s") + F.col("s2"), 4).alias("manhattan"))
 
 
 def ana5(spark, d):
-    value = few_links(spark, d).select(F.col("link_id"), F.col("sbbsn_area").alias("v"))
-    some = both_distances(spark, d)
+    value = links(spark, d).select(F.col("link_id"), F.col("sbbsn_area").alias("v"))
+    some = both_distances(links(spark, d))
     joined = some.join(value.select(F.col("link_id").alias("origin"), F.col("v").alias("a")), "origin").join(value.select(F.col("link_id").alias("destination"), F.col("v").alias("b")), "destination")
     measures = ["directed_path_length", "prop_shared_catchment", "prop_shared_logcatchment", "undirected_path_length"]
     ready = joined.select("origin", "destination", "dist_type", F.round(F.abs(F.col("a") - F.col("b")), 2).alias("value_diff"), *[F.round(F.col(m).cast("double"), 4).alias(m) for m in measures])
     return ready.unpivot(["origin", "destination", "dist_type", "value_diff"], measures, "measure", "distance").distinct()
 
 
-def ana7(spark, d):
-    some = links(spark, d).withColumn("split_id", F.expr("link_id div 3 + (link_id % 3) / 10D"))
-    return some.groupBy(F.floor("split_id").alias("base_id")).agg(F.sum("link_lngth").alias("link_lngth"), F.count("*").alias("n"))
-
-
 def ana10(spark, d):
-    from pyspark.sql import Window
-
-    some = links(spark, d).where("site_id IS NOT NULL")
-    order = Window.orderBy(F.col("us_len").desc(), "link_id")
-    return some.select("link_id", F.pmod(F.row_number().over(order) - 1, F.lit(4)).cast("long").alias("bucket"))
+    some = links(spark, d).where("site_id IS NOT NULL").select("link_id", "us_len")
+    return numbered(some, [F.col("us_len").desc(), F.col("link_id")]).select("link_id", F.pmod(F.col("row") - 1, F.lit(4)).cast("long").alias("bucket"))
 
 
 def streamed_events(spark, d):
-    """Targets that arrive as events, resolved against the network: what the micro-batches of the streaming module add up to."""
-    some = table(spark, d, "events").select(F.col("user_id").alias("link_id")).distinct()
-    return some.join(links(spark, d).select("link_id", "ds_link_id"), "link_id")
+    """Catchments of the links that arrive as a stream of events, kept in a dataset by the micro-batches."""
+    from headwater.functions.steps import shared_folder
+    from headwater.sources.dataset import Dataset
+    from headwater.streaming.incremental import keep_catchments
+
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    pairs = saved(distance.link_closure(links(spark, d)))
+    dataset = Dataset.create(spark, root)
+    dataset.write("Catchment_poly", spark.createDataFrame([], "link_id long, origin long"), "Vector")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    reader = spark.readStream.schema(table(spark, d, "events").schema)
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    events = reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    arriving = events.select(F.col("user_id").alias("link_id"))
+    keep_catchments(arriving, pairs, dataset, f"{root}/_progress").awaitTermination()
+    return dataset.table("Catchment_poly")
 
 
 CL = f"WITH RECURSIVE {LINKS}, {CLOSURE}"
@@ -245,6 +239,12 @@ TRIBS = STEM + """, trib(link_id, trib_id) AS (
     SELECT link_id, link_id FROM links WHERE link_id NOT IN (SELECT main FROM stem)
     UNION ALL SELECT s.main, t.trib_id FROM trib t JOIN stem s ON t.link_id = s.link_id)"""
 
+#: Links of order k + 1 and more: all below a meeting of two of order k and more.
+ORDERS = "a1 AS (SELECT link_id FROM links), " + ", ".join(
+    f"a{k + 1} AS MATERIALIZED (SELECT DISTINCT destination AS link_id FROM cl WHERE origin IN (SELECT ds_link_id FROM links JOIN a{k} USING (link_id) WHERE ds_link_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1))" for k in range(1, 16)
+)
+STRAHLER = "SELECT link_id, CAST(" + " + ".join(f"(link_id IN (SELECT link_id FROM a{k}))::INTEGER" for k in range(1, 17)) + " AS INTEGER) AS strahler FROM links"
+
 QUERIES = {
     "NET1_downstream_closure": (net1, f"{CL} SELECT CAST(destination AS VARCHAR) AS destination_link_id, CAST(origin AS VARCHAR) AS origin_link_id FROM cl"),
     "NET2_upstream_closure": (net2, f"{CL} SELECT CAST(destination AS VARCHAR) AS pour_point_id, CAST(origin AS VARCHAR) AS origin_link_id FROM cl"),
@@ -257,24 +257,23 @@ QUERIES = {
     "NET8_catchment_area": (net8, f"{CL}, {AREA} SELECT link_id, round(area, 2) AS area FROM area"),
     "NET8_catchment_area_doubling": (net8_sum, f"{CL}, {AREA} SELECT link_id, round(area, 2) AS area FROM area"),
     "NET9_fcon_pwise_dist": (net9, f"{CL}, {FCON} SELECT {ROUNDED} FROM fcon"),
-    "NET10_shared_catchments_all_links": (net9_all, f"{CF}, {FCON} SELECT {ROUNDED} FROM fcon"),
-    "NET11_funcon_pwise_dist": (net11, f"{CF}, {FUN} SELECT * FROM fun"),
+    "NET10_shared_catchments_all_links": (net9_all, f"{CL}, {FCON.replace('WHERE o.site_id IS NOT NULL', '')} SELECT {ROUNDED} FROM fcon"),
+    "NET11_funcon_pwise_dist": (net11, f"{CL}, {FUN} SELECT * FROM fun"),
     "NET12_antichains": (net12, f"{CL}, lv AS (SELECT destination AS link_id, 'g' || lpad(CAST(max(hops) AS VARCHAR), 5, '0') AS unn_group FROM cl GROUP BY 1) SELECT link_id, unn_group, count(*) OVER (PARTITION BY unn_group) AS unn_group_size FROM lv"),
     "NET13_targets": (net13, f"WITH {LINKS} SELECT link_id FROM links WHERE site_id % 100 = 0 UNION SELECT link_id FROM links WHERE link_id < 50"),
-    "NET14_catchment_cells": (net14, f"{CL} SELECT destination AS link_id, count(*) AS n_cells, CAST(sum(origin) AS BIGINT) AS cell_sum FROM cl WHERE destination < 40 GROUP BY 1"),
-    "NET15_catchment_cache": (net15, f"{CL} SELECT destination AS link_id, origin FROM cl WHERE destination < 100"),
+    "NET14_catchment_cells": (net14, f"{CL} SELECT destination AS link_id, count(*) AS n_cells, CAST(sum(origin) AS BIGINT) AS cell_sum FROM cl GROUP BY 1"),
+    "NET15_catchment_cache": (net15, f"{CL} SELECT destination AS link_id, origin FROM cl"),
     "NET16_tributary_table": (
         lambda s, d: ras16(s, d).join(links(s, d), "link_id").select("trib_id", "us_len", "link_id").distinct().orderBy("trib_id", "us_len"),
         f"WITH RECURSIVE {LINKS}, {TRIBS} SELECT DISTINCT trib_id, us_len, l.link_id FROM trib t JOIN links l ON t.link_id = l.link_id",
     ),
     "NET17_path_query": (net17, f"{CL} SELECT origin AS link_id FROM cl WHERE destination = 7 UNION SELECT destination FROM cl WHERE origin = 77"),
-    "RAS14_link_class": (ras14, f"WITH {LINKS}, n AS (SELECT ds_link_id AS k, count(*) AS n FROM links GROUP BY 1) SELECT link_id, CASE WHEN n IS NULL THEN 1 WHEN ds_link_id IS NULL THEN 5 ELSE 2 END AS link_class, CASE WHEN n IS NULL THEN 'Exterior Link' WHEN ds_link_id IS NULL THEN 'Sink Node' ELSE 'Interior Link' END AS link_type FROM links LEFT JOIN n ON link_id = k"),
     "RAS16_tributary_id": (ras16, f"WITH RECURSIVE {LINKS}, {TRIBS} SELECT * FROM trib"),
     "RAS17_farthest_head": (ras17, f"{CL}, w AS (SELECT c.origin, c.destination, sum(l.link_lngth) OVER (PARTITION BY c.origin ORDER BY l.us_len, c.destination ROWS UNBOUNDED PRECEDING) AS walked FROM cl c JOIN links l ON c.destination = l.link_id) SELECT destination AS link_id, CAST(max(walked) AS BIGINT) AS farthest_head FROM w GROUP BY 1"),
     "RAS18_upstream_length": (ras18, f"{CL} SELECT destination AS link_id, CAST(sum(link_lngth) AS BIGINT) AS upstream_length FROM cl JOIN links ON origin = link_id GROUP BY 1"),
     "RAS21_hack_order": (ras21, f"{CL}, {STEM} SELECT origin AS link_id, count(*) FILTER (destination NOT IN (SELECT main FROM stem)) AS hack FROM cl GROUP BY 1"),
-    "RAS22_strahler": (ras22, None),
-    "RAS23_horton": (ras23, None),
+    "RAS22_strahler": (ras22, f"{CL}, {ORDERS}, o AS ({STRAHLER}) SELECT link_id, strahler FROM o"),
+    "RAS23_horton": (ras23, f"{CL}, {TRIBS}, {ORDERS}, o AS ({STRAHLER}) SELECT o.link_id, CAST(max(strahler) OVER (PARTITION BY trib_id) AS INTEGER) AS horton FROM o JOIN trib t ON o.link_id = t.link_id"),
     "RAS24_shreve": (ras24, f"{CL} SELECT destination AS link_id, count(*) FILTER (origin NOT IN (SELECT ds_link_id FROM links WHERE ds_link_id IS NOT NULL)) AS shreve FROM cl GROUP BY 1"),
     "EXP1_edges": (exp1, f"{CL}, {AREA} SELECT l.link_id AS rid, link_lngth AS length, round(area, 2) AS h2o_area FROM links l LEFT JOIN area a ON l.link_id = a.link_id"),
     "EXP2_unknown_sites": (
@@ -286,11 +285,11 @@ QUERIES = {
         exp4,
         f"{CL}, {AREA}, s AS (SELECT l.link_id, CASE WHEN ds_link_id IS NULL THEN 1 ELSE area / sum(area) OVER (PARTITION BY ds_link_id) END AS influence FROM links l JOIN area a ON l.link_id = a.link_id) SELECT c.origin AS link_id, round(max(o.influence), 6) AS influence, round(exp(sum(ln(s.influence))), 6) AS afv FROM cl c JOIN s ON c.destination = s.link_id JOIN s o ON c.origin = o.link_id GROUP BY 1",
     ),
-    "ANA1_tagged_distances": (ana1, f"{CF}, {BOTH} SELECT {ROUNDED}, dist_type FROM dist"),
-    "ANA2_distance_matrix": (ana2, f"{CF}, {BOTH}, m AS (SELECT DISTINCT origin, destination, undirected_path_length AS u FROM dist WHERE origin < 8 AND destination < 8) SELECT origin, " + ", ".join(f"round(ln(1 + CAST(coalesce(max(u) FILTER (destination = {k}), 0) AS DOUBLE)), 6) AS d{k}" for k in range(8)) + " FROM m GROUP BY 1"),
-    "ANA3_manhattan": (ana3, f"{CF}, {FCON}, m AS (SELECT origin, destination, directed_path_length * prop_shared_catchment AS v FROM fcon WHERE origin < 20), k AS (SELECT DISTINCT destination FROM m), o AS (SELECT DISTINCT origin FROM m) SELECT a.origin, b.origin AS other, round(sum(abs(coalesce(x.v, 0) - coalesce(y.v, 0))), 4) AS manhattan FROM o a JOIN o b ON a.origin < b.origin CROSS JOIN k LEFT JOIN m x ON x.origin = a.origin AND x.destination = k.destination LEFT JOIN m y ON y.origin = b.origin AND y.destination = k.destination GROUP BY 1, 2"),
-    "ANA5_torgegram": (ana5, f"{CF}, {BOTH}, j AS (SELECT dist.origin, dist.destination, dist_type, round(abs(a.sbbsn_area - b.sbbsn_area), 2) AS value_diff, round(CAST(directed_path_length AS DOUBLE), 4) AS directed_path_length, round(prop_shared_catchment, 4) AS prop_shared_catchment, round(prop_shared_logcatchment, 4) AS prop_shared_logcatchment, round(CAST(undirected_path_length AS DOUBLE), 4) AS undirected_path_length FROM dist JOIN links a ON dist.origin = a.link_id JOIN links b ON dist.destination = b.link_id) SELECT DISTINCT origin, destination, dist_type, value_diff, measure, distance FROM j UNPIVOT (distance FOR measure IN (directed_path_length, prop_shared_catchment, prop_shared_logcatchment, undirected_path_length))"),
-    "ANA7_base_link_merge": (ana7, f"WITH {LINKS} SELECT CAST(floor(link_id // 3 + (link_id % 3) / 10.0) AS BIGINT) AS base_id, CAST(sum(link_lngth) AS BIGINT) AS link_lngth, count(*) AS n FROM links GROUP BY 1"),
+    "ANA1_tagged_distances": (ana1, f"{CL}, {BOTH} SELECT {ROUNDED}, dist_type FROM dist"),
+    # SQL has to name the columns: those of the hundred sites at scale 0.01
+    "ANA2_distance_matrix": (ana2, f"{CF}, {BOTH}, m AS (SELECT DISTINCT origin, destination, undirected_path_length AS u FROM dist) SELECT origin, " + ", ".join(f'round(ln(1 + CAST(coalesce(max(u) FILTER (destination = {k}), 0) AS DOUBLE)), 6) AS "{k}"' for k in range(100)) + " FROM m GROUP BY 1"),
+    "ANA3_manhattan": (ana3, f"{CF}, {FCON}, m AS (SELECT origin, destination, directed_path_length * prop_shared_catchment AS v FROM fcon), k AS (SELECT DISTINCT destination FROM m), o AS (SELECT DISTINCT origin FROM m) SELECT a.origin, b.origin AS other, round(sum(abs(coalesce(x.v, 0) - coalesce(y.v, 0))), 4) AS manhattan FROM o a JOIN o b ON a.origin < b.origin CROSS JOIN k LEFT JOIN m x ON x.origin = a.origin AND x.destination = k.destination LEFT JOIN m y ON y.origin = b.origin AND y.destination = k.destination GROUP BY 1, 2"),
+    "ANA5_torgegram": (ana5, f"{CL}, {BOTH}, j AS (SELECT dist.origin, dist.destination, dist_type, round(abs(a.sbbsn_area - b.sbbsn_area), 2) AS value_diff, round(CAST(directed_path_length AS DOUBLE), 4) AS directed_path_length, round(prop_shared_catchment, 4) AS prop_shared_catchment, round(prop_shared_logcatchment, 4) AS prop_shared_logcatchment, round(CAST(undirected_path_length AS DOUBLE), 4) AS undirected_path_length FROM dist JOIN links a ON dist.origin = a.link_id JOIN links b ON dist.destination = b.link_id) SELECT DISTINCT origin, destination, dist_type, value_diff, measure, distance FROM j UNPIVOT (distance FOR measure IN (directed_path_length, prop_shared_catchment, prop_shared_logcatchment, undirected_path_length))"),
     "ANA10_round_robin": (ana10, f"WITH {LINKS} SELECT link_id, (row_number() OVER (ORDER BY us_len DESC, link_id) - 1) % 4 AS bucket FROM links WHERE site_id IS NOT NULL"),
-    "STREAM1_arriving_targets": (streamed_events, f"WITH {LINKS} SELECT DISTINCT link_id, ds_link_id FROM events JOIN links ON user_id = link_id"),
+    "STREAM1_arriving_targets": (streamed_events, f"{CL} SELECT DISTINCT user_id AS link_id, origin FROM events JOIN cl ON user_id = destination"),
 }

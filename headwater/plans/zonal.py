@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from headwater.functions.stats import WEIGHTS, merged_mean, merged_var_pop, merged_var_samp
-from headwater.operators import distance, zonal
+from headwater.operators import distance, weights, zonal
 from headwater.plans.views import CELLS, CLOSURE, LINKS, cells, links
 
 FLAGS = ["A", "N", "R"]
@@ -15,6 +16,11 @@ def r(n, c, places=7):
     return F.round(c, places).alias(n)
 
 
+def single(n, c):
+    """To the 24 bits of a single float: variances of whole numbers are often exact halves of a decimal place, which rounding to decimals would split."""
+    return c.cast("float").cast("double").alias(n)
+
+
 def places_of(name):
     """Decimals to compare: plain means of two-decimal values often end in an exact half, weighted ones carry rounding errors."""
     return 9 if name.endswith("mean") and "iFLS" not in name else 4
@@ -22,12 +28,15 @@ def places_of(name):
 
 def chunks(spark, d):
     """Partials of num_a by zone and batch (the category), as a merge's input."""
-    some = cells(spark, d)
-    return some.groupBy("link_id", "cat").agg(F.count("num_a").cast("double").alias("n"), F.avg("num_a").alias("m"), F.var_pop("num_a").alias("v"), F.sum("w").alias("ww"), (F.sum(F.col("w") * F.col("num_a")) / F.sum("w")).alias("wm"), (F.sum(F.expr("w * num_a * num_a")) / F.sum("w") - F.pow(F.sum(F.col("w") * F.col("num_a")) / F.sum("w"), 2)).alias("wv"))
+    partials = zonal.zone_partials(cells(spark, d).withColumn("zone", F.struct("link_id", "cat")), "zone", ["num_a"], {}, ["w"])
+    names = {"n": "num_a_n", "m": "num_a_mean", "v": "num_a_var", "ww": "num_a_w_weight", "wm": "num_a_w_mean", "wv": "num_a_w_var"}
+    return partials.select("zone.link_id", *[F.col(c).cast("double").alias(k) for k, c in names.items()])
 
 
 def by_chunk(aggregate):
-    return lambda s, d: chunks(s, d).groupBy("link_id").agg(*aggregate())
+    """Merges by zone; the pivot is the least mean of a zone's chunks, found on the rows that the merge groups anyway."""
+    one = Window.partitionBy("link_id")
+    return lambda s, d: chunks(s, d).withColumns({"p": F.min("m").over(one), "wp": F.min("wm").over(one)}).groupBy("link_id").agg(*aggregate())
 
 
 def flagship(spark, d):
@@ -48,11 +57,10 @@ def zone_min(spark, d):
 
 
 def outlet_weights(spark, d):
-    """iFLO and HAiFLO summed over each catchment of the 30 lowest links, by cell."""
-    pairs = distance.link_closure(links(spark, d)).where("destination < 30")
-    both = pairs.join(cells(spark, d).withColumnRenamed("link_id", "origin"), "origin")
-    least = pairs.join(cells(spark, d).groupBy(F.col("link_id").alias("origin")).agg(F.min("dist").alias("m")), "origin").groupBy("destination").agg(F.min("m").alias("least"))
-    away = both.join(least, "destination").withColumn("to_outlet", F.col("dist") - F.col("least"))
+    """iFLO and HAiFLO summed over each catchment, by cell; the weights stay long, keyed by pour point and cell."""
+    pairs = distance.link_closure(links(spark, d))
+    some = cells(spark, d).withColumnRenamed("link_id", "origin")
+    away = weights.outlet_distance(pairs, some, "dist")
     weight = lambda n: WEIGHTS[n](F.col("dist"), F.col("to_outlet"), F.col("accum"), F.lit(False))
     return away.groupBy(F.col("destination").alias("link_id")).agg(r("iFLO", F.sum(weight("iFLO")), 3), r("HAiFLO", F.sum(weight("HAiFLO")), 3))
 
@@ -71,7 +79,8 @@ def sql(*columns, source="cells", key="link_id"):
     return f"WITH {CELLS} SELECT {key}, {', '.join(columns)} FROM {source} GROUP BY {key}"
 
 
-CHUNKS = f"WITH {CELLS}, k AS (SELECT link_id, cat, CAST(count(num_a) AS DOUBLE) AS n, avg(num_a) AS m, var_pop(num_a) AS v, sum(w) AS ww, sum(w * num_a) / sum(w) AS wm, sum(w * num_a * num_a) / sum(w) - pow(sum(w * num_a) / sum(w), 2) AS wv FROM cells GROUP BY 1, 2)"
+CHUNKS = f"WITH {CELLS}, k AS (SELECT link_id, cat, CAST(count(num_a) AS DOUBLE) AS n, avg(num_a) AS m FROM cells GROUP BY 1, 2)"
+CENTRED = f"WITH {CELLS}, c AS (SELECT *, sum(w * num_a) OVER (PARTITION BY link_id) / sum(w) OVER (PARTITION BY link_id) AS mu FROM cells)"
 STATS = [("mean", "avg({})"), ("sd", "stddev_samp({})"), ("min", "min({})"), ("max", "max({})"), ("sum", "sum({})")]
 CATCH = f"WITH RECURSIVE {LINKS}, {CLOSURE}, {CELLS}, z AS (SELECT c.destination, x.* FROM cl c JOIN cells x ON c.origin = x.link_id)"
 FLAG_SQL = CATCH + " SELECT destination AS link_id, " + ", ".join(
@@ -96,18 +105,17 @@ QUERIES = {
     "AGG13_weighted_sum": (zones(lambda: r("s", F.sum(F.col("num_b") * F.col("w")), 6)), sql("round(sum(num_b * w), 6) AS s")),
     "AGG14_weight_of_values": (zones(lambda: r("w", F.sum(F.when(F.col("num_b").isNotNull(), F.col("w"))), 6)), sql("round(sum(w) FILTER (num_b IS NOT NULL), 6) AS w")),
     "AGG15_merged_mean": (by_chunk(lambda: [r("m", merged_mean("n", "m"))]), f"{CHUNKS} SELECT link_id, round(sum(n * m) / sum(n), 7) AS m FROM k GROUP BY 1"),
-    # exact halves are common here: a shift far below the last place keeps both engines on one side of them
     "AGG16_merged_variance": (
-        by_chunk(lambda: [r("v", merged_var_pop("n", "m", "v") + 0.00000031, 4), r("sd", F.sqrt(merged_var_pop("n", "m", "v")) + 0.00000031, 4)]),
-        f"WITH {CELLS} SELECT link_id, round(var_pop(num_a) + 0.00000031::DOUBLE, 4) AS v, round(stddev_pop(num_a) + 0.00000031::DOUBLE, 4) AS sd FROM cells GROUP BY 1",
+        by_chunk(lambda: [single("v", merged_var_pop("n", "m", "v", "p")), single("sd", F.sqrt(merged_var_pop("n", "m", "v", "p")))]),
+        f"WITH {CELLS} SELECT link_id, CAST(CAST(var_pop(num_a) AS FLOAT) AS DOUBLE) AS v, CAST(CAST(stddev_pop(num_a) AS FLOAT) AS DOUBLE) AS sd FROM cells GROUP BY 1",
     ),
-    "AGG17_merged_sample_variance": (by_chunk(lambda: [r("v", merged_var_samp("n", "m", "v"), 9), r("sd", F.sqrt(merged_var_samp("n", "m", "v")), 9)]), f"WITH {CELLS} SELECT link_id, round(var_samp(num_a), 9) AS v, round(stddev_samp(num_a), 9) AS sd FROM cells GROUP BY 1"),
+    "AGG17_merged_sample_variance": (by_chunk(lambda: [r("v", merged_var_samp("n", "m", "v", "p"), 9), r("sd", F.sqrt(merged_var_samp("n", "m", "v", "p")), 9)]), f"WITH {CELLS} SELECT link_id, round(var_samp(num_a), 9) AS v, round(stddev_samp(num_a), 9) AS sd FROM cells GROUP BY 1"),
     "AGG18_merged_weighted_mean": (by_chunk(lambda: [r("m", merged_mean("ww", "wm"))]), f"WITH {CELLS} SELECT link_id, round(sum(num_a * w) / sum(w), 7) AS m FROM cells GROUP BY 1"),
-    "AGG19_merged_weighted_variance": (by_chunk(lambda: [r("v", merged_var_pop("ww", "wm", "wv"))]), f"WITH {CELLS} SELECT link_id, round(greatest(sum(w * num_a * num_a) / sum(w) - pow(sum(w * num_a) / sum(w), 2), 0), 7) AS v FROM cells GROUP BY 1"),
-    "AGG20_merged_weighted_sample_variance": (by_chunk(lambda: [r("v", merged_var_samp("ww", "wm", "wv"), 3)]), f"WITH {CELLS} SELECT link_id, CASE WHEN sum(w) > 1 THEN round((sum(w * num_a * num_a) / sum(w) - pow(sum(w * num_a) / sum(w), 2)) * sum(w) / (sum(w) - 1), 3) END AS v FROM cells GROUP BY 1"),
+    "AGG19_merged_weighted_variance": (by_chunk(lambda: [r("v", merged_var_pop("ww", "wm", "wv", "wp"))]), f"{CENTRED} SELECT link_id, round(sum(w * (num_a - mu) * (num_a - mu)) / sum(w), 7) AS v FROM c GROUP BY 1"),
+    "AGG20_merged_weighted_sample_variance": (by_chunk(lambda: [single("v", merged_var_samp("ww", "wm", "wv", "wp"))]), f"{CENTRED} SELECT link_id, CASE WHEN sum(w) > 1 THEN CAST(CAST(sum(w * (num_a - mu) * (num_a - mu)) / (sum(w) - 1) AS FLOAT) AS DOUBLE) END AS v FROM c GROUP BY 1"),
     "AGG25_catchment_quantiles": (quantiles, CATCH + " SELECT destination AS link_id, round(quantile_cont(num_a, 0.25), 7) AS num_a_lumped_q25, round(median(num_a), 7) AS num_a_lumped_median, round(quantile_cont(num_a, 0.75), 7) AS num_a_lumped_q75 FROM z GROUP BY 1"),
     "AGG26_zone_min": (zone_min, CATCH + " SELECT destination AS link_id, round(min(dist), 7) AS min_dist FROM z GROUP BY 1"),
     "AGG30_catchment_summary": (flagship, FLAG_SQL),
     "WGT1_stream_weights": (stream_weights, sql("CAST(count(*) AS DOUBLE) AS lumped", "round(sum(w), 7) AS iFLS", "round(sum(w * (accum + 1)) FILTER (cat <> 'R'), 7) AS HAiFLS")),
-    "WGT3_outlet_weights": (outlet_weights, CATCH + ", m AS (SELECT *, dist - min(dist) OVER (PARTITION BY destination) AS o FROM z WHERE destination < 30) SELECT destination AS link_id, round(sum(1 / (0.001::DOUBLE * o + 1)), 3) AS iFLO, round(sum(accum / (0.001::DOUBLE * o + 1)), 3) AS HAiFLO FROM m GROUP BY 1"),
+    "WGT3_outlet_weights": (outlet_weights, CATCH + ", m AS (SELECT *, dist - min(dist) OVER (PARTITION BY destination) AS o FROM z) SELECT destination AS link_id, round(sum(1 / (0.001::DOUBLE * o + 1)), 3) AS iFLO, round(sum(accum / (0.001::DOUBLE * o + 1)), 3) AS HAiFLO FROM m GROUP BY 1"),
 }

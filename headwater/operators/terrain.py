@@ -6,7 +6,9 @@ Neighbours come from dealing each cell to its eight spots and an equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.steps import saved
@@ -137,18 +139,52 @@ def breach_depressions(cells: DataFrame, elev: str = "elev", rounds: int = 10_00
     raise ValueError("not breached within the rounds given")
 
 
-def smooth(cells: DataFrame, value: str = "elev") -> DataFrame:
-    """``cell_id, smoothed``: the mean over a cell and its neighbours, an approximation of feature-preserving smoothing."""
-    around = neighbours(cells, value).groupBy("cell_id").agg(F.sum(f"n_{value}").alias("s"), F.count(f"n_{value}").alias("n"))
-    return cells.select("cell_id", value).join(around, "cell_id", "left").select("cell_id", ((F.col(value) + F.coalesce("s", F.lit(0.0))) / (1 + F.coalesce("n", F.lit(0)))).alias("smoothed"))
+def gradients(cells: DataFrame, value: str = "elev", cell: float = 1.0) -> DataFrame:
+    """``cell_id, gx, gy``: Horn's gradient over the eight neighbours; cells at the edge have none."""
+    east, south = {1: 1, 2: 2, 4: 1, 16: -1, 32: -2, 64: -1}, {4: 1, 8: 2, 16: 1, 64: -1, 128: -2, 1: -1}
+    part = lambda by: F.sum(sum((F.when(F.col("code") == k, w * F.col(f"n_{value}")).otherwise(0.0) for k, w in by.items()), F.lit(0.0))) / (8 * cell)
+    around = neighbours(cells, value).groupBy("cell_id").agg(part(east).alias("gx"), part(south).alias("gy"), F.count("*").alias("n"))
+    return around.where("n = 8").select("cell_id", "gx", "gy")
+
+
+def smooth(cells: DataFrame, value: str = "elev", degrees: float = 15.0) -> DataFrame:
+    """``cell_id, smoothed``: feature-preserving smoothing.
+
+    A neighbour weighs the more the closer its surface normal lies to the cell's,
+    and nothing beyond ``degrees``; so slopes are smoothed and breaks are kept.
+    Cells at the edge, which have no normal, keep their value.
+    """
+    least = math.cos(math.radians(degrees))
+    known = saved(cells.select("cell_id", "row", "col", value).join(gradients(cells, value), "cell_id", "left"))
+    both = neighbours(known, value, "gx", "gy").join(known.select("cell_id", "gx", "gy"), "cell_id")
+    dot = F.col("gx") * F.col("n_gx") + F.col("gy") * F.col("n_gy") + 1
+    size = lambda p: F.sqrt(F.col(f"{p}gx") * F.col(f"{p}gx") + F.col(f"{p}gy") * F.col(f"{p}gy") + 1)
+    weight = F.greatest(dot / (size("") * size("n_")) - least, F.lit(0.0))
+    around = both.withColumn("w", weight * weight).groupBy("cell_id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col(f"n_{value}")).alias("s"))
+    own = (1 - least) ** 2
+    mean = (own * F.col(value) + F.coalesce("s", F.lit(0.0))) / (own + F.coalesce("w", F.lit(0.0)))
+    return known.join(around, "cell_id", "left").select("cell_id", mean.alias("smoothed"))
 
 
 def horn_slope(cells: DataFrame, value: str = "elev", cell: float = 1.0) -> DataFrame:
     """``cell_id, slope``: Horn's gradient over the eight neighbours; cells at the edge have none."""
-    east, south = {1: 1, 2: 2, 4: 1, 16: -1, 32: -2, 64: -1}, {4: 1, 8: 2, 16: 1, 64: -1, 128: -2, 1: -1}
-    part = lambda by: F.sum(sum((F.when(F.col("code") == k, w * F.col(f"n_{value}")).otherwise(0.0) for k, w in by.items()), F.lit(0.0))) / (8 * cell)
-    around = neighbours(cells, value).groupBy("cell_id").agg(part(east).alias("x"), part(south).alias("y"), F.count("*").alias("n"))
-    return around.where("n = 8").select("cell_id", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("slope"))
+    return gradients(cells, value, cell).select("cell_id", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("slope"))
+
+
+def trim_to_reference(chunks: DataFrame, threshold: float, compat: bool = False) -> DataFrame:
+    """``line, chunk``: chunks (line, chunk, share) of lines that a reference overlaps by more than ``threshold``.
+
+    With ``compat`` everything from a line's first such chunk on is kept, as far
+    as the reference touches it at all; the first one is given by its place among
+    the touched chunks, and a line without any keeps all its touched chunks.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the overlap threshold lies in (0, 1]")
+    if not compat:
+        return chunks.where(F.col("share") > threshold).select("line", "chunk")
+    touched = chunks.where("share > 0").withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("chunk")))
+    start = F.coalesce(F.min(F.when(F.col("share") > threshold, F.col("place"))).over(Window.partitionBy("line")), F.lit(0))
+    return touched.withColumn("start", start).where("chunk >= start").select("line", "chunk")
 
 
 def nearest_stream(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from headwater.functions.steps import saved
-from headwater.operators import distance, graph, sites
+from headwater.operators import distance, graph, sites, streamlinks
 from headwater.operators.relational import numbered
 from headwater.plans.views import CLOSURE, FEW, LINKS, few_links, links, table
 
@@ -91,8 +91,7 @@ def ras17(spark, d):
 
 
 def ras18(spark, d):
-    nodes = links(spark, d).select(F.col("link_id").alias("id"), F.col("ds_link_id").alias("ds"), "link_lngth")
-    return graph.upstream_sum(nodes, "link_lngth").select(F.col("id").alias("link_id"), F.col("total").alias("upstream_length"))
+    return streamlinks.upstream_length(links(spark, d))
 
 
 def ras22(spark, d):
@@ -100,41 +99,23 @@ def ras22(spark, d):
 
 
 def ras24(spark, d):
-    some = links(spark, d)
-    heads = some.select("link_id").join(some.select(F.col("ds_link_id").alias("link_id")).distinct(), "link_id", "left_anti").withColumn("head", F.lit(1))
-    nodes = some.join(heads, "link_id", "left").select(F.col("link_id").alias("id"), F.col("ds_link_id").alias("ds"), F.coalesce("head", F.lit(0)).cast("long").alias("head"))
-    return graph.upstream_sum(nodes, "head").select(F.col("id").alias("link_id"), F.col("total").alias("shreve"))
-
-
-def main_stem(some):
-    """Each link's main upstream link: of those flowing into it the one with the greatest us_len, then the smallest id."""
-    best = F.max_by("link_id", F.struct("us_len", (-F.col("link_id")).alias("k"))).alias("main")
-    return some.where("ds_link_id IS NOT NULL").groupBy(F.col("ds_link_id").alias("link_id")).agg(best)
-
-
-def tributaries(some):
-    """``link_id, trib_id, joins``: links of one unbroken main channel share a tributary, named by its lowest link."""
-    main = main_stem(some).select(F.col("main").alias("link_id"), F.lit(True).alias("goes_on"))
-    nodes = some.join(main, "link_id", "left").select(F.col("link_id").alias("id"), F.when(F.col("goes_on"), F.col("ds_link_id")).alias("ds"), F.lit(1).alias("one"))
-    return graph.downstream_sum(nodes, "one").select(F.col("id").alias("link_id"), F.col("outlet").alias("trib_id"))
+    return streamlinks.shreve(links(spark, d))
 
 
 def ras16(spark, d):
-    return tributaries(links(spark, d))
+    return streamlinks.tributaries(links(spark, d))
 
 
 def ras21(spark, d):
-    some = links(spark, d)
-    main = main_stem(some).select(F.col("main").alias("link_id"), F.lit(0).alias("turn"))
-    nodes = some.join(main, "link_id", "left").select(F.col("link_id").alias("id"), F.col("ds_link_id").alias("ds"), F.coalesce("turn", F.lit(1)).alias("turn"))
-    return graph.downstream_sum(nodes, "turn").select(F.col("id").alias("link_id"), F.col("total").cast("long").alias("hack"))
+    return streamlinks.hack(links(spark, d))
 
 
 def ras23(spark, d):
-    some = links(spark, d)
-    joined = graph.strahler(edges(some)).withColumnRenamed("id", "link_id").join(tributaries(some), "link_id")
-    top = joined.groupBy("trib_id").agg(F.max("strahler").alias("horton"))
-    return joined.join(top, "trib_id").select("link_id", "horton")
+    return streamlinks.horton(links(spark, d))
+
+
+def udf4(spark, d):
+    return streamlinks.with_attributes(links(spark, d).select("link_id", "ds_link_id", "link_lngth", "us_len"), ["USChnLn_To", "StOrd_Hack", "StOrd_Str", "StOrd_Shr"]).drop("us_len")
 
 
 def exp1(spark, d):
@@ -275,6 +256,11 @@ QUERIES = {
     "RAS22_strahler": (ras22, f"{CL}, {ORDERS}, o AS ({STRAHLER}) SELECT link_id, strahler FROM o"),
     "RAS23_horton": (ras23, f"{CL}, {TRIBS}, {ORDERS}, o AS ({STRAHLER}) SELECT o.link_id, CAST(max(strahler) OVER (PARTITION BY trib_id) AS INTEGER) AS horton FROM o JOIN trib t ON o.link_id = t.link_id"),
     "RAS24_shreve": (ras24, f"{CL} SELECT destination AS link_id, count(*) FILTER (origin NOT IN (SELECT ds_link_id FROM links WHERE ds_link_id IS NOT NULL)) AS shreve FROM cl GROUP BY 1"),
+    "UDF4_extra_attributes": (
+        udf4,
+        f"{CL}, {STEM}, {ORDERS}, o AS ({STRAHLER}), t AS (SELECT destination AS link_id, CAST(sum(link_lngth) AS BIGINT) AS n, count(*) FILTER (origin NOT IN (SELECT ds_link_id FROM links WHERE ds_link_id IS NOT NULL)) AS heads FROM cl JOIN links ON origin = link_id GROUP BY 1), h AS (SELECT origin AS link_id, count(*) FILTER (destination NOT IN (SELECT main FROM stem)) AS hack FROM cl GROUP BY 1) "
+        'SELECT l.link_id, ds_link_id, link_lngth, n AS "USChnLn_To", hack AS "StOrd_Hack", strahler AS "StOrd_Str", heads AS "StOrd_Shr" FROM links l JOIN o USING (link_id) JOIN t USING (link_id) JOIN h USING (link_id)',
+    ),
     "EXP1_edges": (exp1, f"{CL}, {AREA} SELECT l.link_id AS rid, link_lngth AS length, round(area, 2) AS h2o_area FROM links l LEFT JOIN area a ON l.link_id = a.link_id"),
     "EXP2_unknown_sites": (
         lambda s, d: table(s, d, "events").select(F.col("user_id").alias("link_id")).distinct().join(links(s, d).select("link_id"), "link_id", "left_anti"),

@@ -5,14 +5,14 @@ Each is the shape in which the analytics use the operator, bound to the test tab
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from headwater.operators.relational import all_min, keep_extreme, nearest_within, replace_by_key, split_cached
+from headwater.operators.relational import all_min, keep_extreme, nearest_within, numbered, replace_by_key, split_cached
 from headwater.plans.views import LINKS, links, table
-from headwater.sources.catalog import classify_layers
 
 
 def t(name):
@@ -21,24 +21,52 @@ def t(name):
 
 part, supplier, customer, orders, nation, region, lineitem, events = map(t, ("part", "supplier", "customer", "orders", "nation", "region", "lineitem", "events"))
 
-LAYERS = [("dem_final", "Raster"), ("loi_landuse", "Raster"), ("iFLS", "Raster"), ("stream_links", "Vector"), ("Subbasins_poly", "Vector"), ("Catchment_poly", "Vector"), ("stream_links_attr", "Table"), ("us_flowpaths", "Table"), ("fcon_pwise_dist", "Table"), ("site_id_col", "Table"), ("loi_meta", "Table")]
-VALUES = ", ".join(f"('{n}', '{k}')" for n, k in LAYERS)
+#: Most links that flow into one.
+MOST = 7
+
+#: Layers of a whole dataset, by kind.
+LAYERS = {
+    "Raster": "dem_raw dem_final dem_d8 dem_accum_d8 dem_accum_d8_sca dem_streams_d8 iFLS HAiFLS iFLO_unn_groupab12 HAiFLO_unn_groupab12 landuse_1 slope Elevation",
+    "Vector": "DEM_Extent stream_links stream_lines stream_points snapped_points original_points Subbasins_poly Catchment_poly",
+    "Table": "site_id_col loi_meta unnest_catchment stream_links_attr stream_points_attr ds_flowpaths us_flowpaths fcon_pwise_dist funcon_pwise_dist weight_meta",
+}
+VALUES = ", ".join(f"('{n}', '{k}')" for k, names in LAYERS.items() for n in names.split())
+#: Fixed groups of layer names.
+GROUPS = {
+    "meta": "site_id_col DEM_Extent loi_meta unnest_catchment",
+    "sample_points": "snapped_points original_points",
+    "hydro": "Elevation stream_links stream_lines stream_points Subbasins_poly Catchment_poly stream_points_attr stream_links_attr",
+    "flow_path": "ds_flowpaths us_flowpaths",
+    "pwise_dist": "funcon_pwise_dist fcon_pwise_dist",
+}
+BY_NAME = " ".join(f"WHEN layer_name IN ({', '.join(repr(n) for n in names.split())}) THEN '{g}'" for g, names in GROUPS.items())
+
+
+def dataset(s, d):
+    """A dataset in the shared folder with every layer of ``LAYERS``; its metadata names the site column."""
+    from headwater.functions.steps import shared_folder
+    from headwater.sources.dataset import Dataset
+
+    out = Dataset.create(s, f"{shared_folder(s)}/{uuid.uuid4().hex}")
+    out.register([(n, k) for k, names in LAYERS.items() for n in names.split()])
+    out.write("site_id_col", s.createDataFrame([("site_id",)], "site_id_col string"))
+    return out
 
 
 def src2(s, d):
-    return classify_layers(s.createDataFrame(LAYERS, "layer_name string, data_type string"))
+    return dataset(s, d).layers()
 
 
 def prj6(s, d):
-    some = nation(s, d).where("n_nationkey % 5 < 4")
+    some = nation(s, d)
     n = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    ranked = some.withColumn("nm", F.row_number().over(n)).where("nm <= 4")
-    wide = ranked.groupBy("n_regionkey").pivot("nm", [1, 2, 3, 4]).agg(F.first("n_nationkey").alias("link"), F.first("n_name").alias("trib"))
-    return wide.select("n_regionkey", *[F.col(f"{k}_{c}").alias(f"us{c}_id{k}") for k in range(1, 5) for c in ("link", "trib")])
+    ranked = some.withColumn("nm", F.row_number().over(n))
+    wide = ranked.groupBy("n_regionkey").pivot("nm", list(range(1, MOST + 1))).agg(F.first("n_nationkey").alias("link"), F.first("n_name").alias("trib"))
+    return wide.select("n_regionkey", *[F.col(f"{k}_{c}").alias(f"us{c}_id{k}") for k in range(1, MOST + 1) for c in ("link", "trib")])
 
 
 def prj10(s, d):
-    listed = orders(s, d).where("o_custkey < 100").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x"))
+    listed = orders(s, d).groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x"))
     return listed.select("o_custkey", F.inline(F.arrays_zip(F.col("x.o_orderkey").alias("o_orderkey"), F.col("x.o_orderstatus").alias("o_orderstatus"))))
 
 
@@ -121,23 +149,23 @@ def set4(s, d):
 QUERIES = {
     "SRC2_catalog": (
         src2,
-        f"SELECT layer_name, data_type, CASE WHEN regexp_matches(layer_name, '^(dem_|DEM_)') THEN 'hydro' WHEN regexp_matches(layer_name, '^(iFL|HAiFL)') THEN 'iDW' WHEN regexp_matches(layer_name, '^loi_') THEN CASE WHEN data_type = 'Table' THEN 'meta' ELSE 'loi' END WHEN layer_name IN ('ds_flowpaths', 'us_flowpaths') THEN 'flow_path' WHEN regexp_matches(layer_name, 'pwise_dist$') THEN 'pwise_dist' WHEN layer_name IN ('site_id_col', 'weight_meta') THEN 'meta' WHEN regexp_matches(layer_name, '^(stream_|Subbasins|Catchment|snapped|original)') THEN 'hydro' ELSE 'other' END AS data_group FROM (VALUES {VALUES}) v(layer_name, data_type)",
+        f"SELECT layer_name, data_type, CASE WHEN starts_with(layer_name, 'dem_') THEN 'hydro' WHEN regexp_matches(layer_name, 'iFLS|HAiFLS|iFLO|HAiFLO') THEN 'iDW' {BY_NAME} ELSE 'loi' END AS data_group FROM (VALUES {VALUES}) v(layer_name, data_type)",
     ),
     "SRC4_table_scan": (lambda s, d: links(s, d), f"WITH {LINKS} SELECT * FROM links"),
     "SRC7_key_filtered_scan": (
         lambda s, d: lineitem(s, d).select("l_partkey", "l_quantity").join(part(s, d).where("p_size = 7").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi"),
         "SELECT l_partkey, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)",
     ),
-    "SRC9_metadata": (lambda s, d: s.sql("SELECT 'site_id' AS site_id_col"), "SELECT 'site_id' AS site_id_col"),
+    "SRC9_metadata": (lambda s, d: dataset(s, d).table("site_id_col"), "SELECT 'site_id' AS site_id_col"),
     "PRJ1_select_rename": (lambda s, d: part(s, d).select("p_partkey", *[c for c in part(s, d).columns if c.startswith("p_b") or c == "absent"]).withColumnsRenamed({"p_brand": "brand"}), "SELECT p_partkey, p_brand AS brand FROM part"),
     "PRJ2_computed": (lambda s, d: part(s, d).select("p_partkey").withColumn("twice", F.col("p_partkey") * 2), "SELECT p_partkey, p_partkey * 2 AS twice FROM part"),
     "PRJ3_transmute": (lambda s, d: part(s, d).selectExpr("p_size + 1 AS next"), "SELECT p_size + 1 AS next FROM part"),
     "PRJ4_across": (lambda s, d: all_min(part(s, d).select("p_brand", "p_size", "p_retailprice"), ["p_brand"]), "SELECT p_brand, min(p_size) AS p_size, min(p_retailprice) AS p_retailprice FROM part GROUP BY 1"),
     "PRJ5_pivot_incidence": (lambda s, d: lineitem(s, d).groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.first(F.lit(1))).fillna(0), "SELECT l_suppkey, " + ", ".join(f"CAST(max(l_returnflag = '{v}') AS INTEGER) AS {v}" for v in "ANR") + " FROM lineitem GROUP BY 1"),
-    "PRJ6_pivot_two_values": (prj6, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nm FROM nation WHERE n_nationkey % 5 < 4) SELECT n_regionkey, " + ", ".join(f"max(n_nationkey) FILTER (nm = {k}) AS uslink_id{k}, max(n_name) FILTER (nm = {k}) AS ustrib_id{k}" for k in range(1, 5)) + " FROM r GROUP BY 1"),
+    "PRJ6_pivot_two_values": (prj6, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nm FROM nation) SELECT n_regionkey, " + ", ".join(f"max(n_nationkey) FILTER (nm = {k}) AS uslink_id{k}, max(n_name) FILTER (nm = {k}) AS ustrib_id{k}" for k in range(1, MOST + 1)) + " FROM r GROUP BY 1"),
     "PRJ7_pivot_longer": (lambda s, d: part(s, d).select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")).unpivot("p_partkey", ["size", "price"], "name", "value"), "SELECT p_partkey, name, value FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT (value FOR name IN (size, price))"),
     "PRJ9_nest_unnest": (lambda s, d: orders(s, d).groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k")).select("o_custkey", F.explode("k").alias("o_orderkey")), "SELECT o_custkey, o_orderkey FROM orders"),
-    "PRJ10_pivot_lists": (prj10, "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey < 100"),
+    "PRJ10_pivot_lists": (prj10, "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders"),
     "PRJ11_horizontal_bind": (lambda s, d: part(s, d).select("p_partkey", "p_size").join(part(s, d).select("p_partkey", "p_brand"), "p_partkey"), "SELECT p_partkey, p_size, p_brand FROM part"),
     "FLT1_predicate": (lambda s, d: links(s, d).where("link_lngth > 25").select("link_id"), f"WITH {LINKS} SELECT link_id FROM links WHERE link_lngth > 25"),
     "FLT2_in_set": (lambda s, d: part(s, d).where(F.col("p_size").isin(1, 5, 9)).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9)"),
@@ -158,7 +186,7 @@ QUERIES = {
     "JN1_left": (lambda s, d: customer(s, d).select("c_custkey", "c_nationkey").join(nation(s, d).where("n_nationkey > 10").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left"), "SELECT c_custkey, c_nationkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey > 10"),
     "JN2_composite": (lambda s, d: lineitem(s, d).groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q")).join(lineitem(s, d).where("l_tax > 0.05").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")), ["l_orderkey", "l_linenumber"], "left"), "SELECT a.*, n FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) a LEFT JOIN (SELECT l_orderkey AS o, l_linenumber AS l, count(*) AS n FROM lineitem WHERE l_tax > 0.05 GROUP BY 1, 2) ON l_orderkey = o AND l_linenumber = l"),
     "JN4_two_lookups": (jn4, f"WITH {LINKS} SELECT link_id, a.p_brand AS brand, ds_link_id, b.p_brand AS ds_brand FROM links LEFT JOIN part a ON link_id = a.p_partkey LEFT JOIN part b ON ds_link_id = b.p_partkey WHERE ds_link_id IS NOT NULL"),
-    "JN5_full": (lambda s, d: customer(s, d).where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_acctbal").join(supplier(s, d).where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("k"), "s_acctbal"), "k", "full"), "SELECT coalesce(c_custkey, s_suppkey) AS k, c_acctbal, s_acctbal FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON c_custkey = s_suppkey"),
+    "JN5_full": (lambda s, d: customer(s, d).select((F.col("c_custkey") * 2).alias("k"), "c_acctbal").join(supplier(s, d).select((F.col("s_suppkey") * 3).alias("k"), "s_acctbal"), "k", "full"), "SELECT coalesce(c_custkey * 2, s_suppkey * 3) AS k, c_acctbal, s_acctbal FROM customer FULL JOIN supplier ON c_custkey * 2 = s_suppkey * 3"),
     "JN7_right": (lambda s, d: supplier(s, d).select(F.col("s_nationkey").alias("k"), "s_suppkey").join(nation(s, d).select(F.col("n_nationkey").alias("k"), "n_name"), "k", "right"), "SELECT n_nationkey AS k, s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey"),
     "JN8_anti": (lambda s, d: customer(s, d).select("c_custkey").join(orders(s, d).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "JN9_semi": (lambda s, d: customer(s, d).select("c_custkey").join(orders(s, d).where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"),
@@ -181,7 +209,7 @@ QUERIES = {
     "WIN4_group_extremes": (lambda s, d: part(s, d).select("p_partkey", F.max("p_size").over(Window.partitionBy("p_brand")).alias("hi"), F.min("p_size").over(Window.partitionBy("p_brand")).alias("lo")), "SELECT p_partkey, max(p_size) OVER (PARTITION BY p_brand) AS hi, min(p_size) OVER (PARTITION BY p_brand) AS lo FROM part"),
     "WIN6_group_tests": (lambda s, d: orders(s, d).select("o_orderkey", F.bool_or(F.col("o_orderstatus") == "F").over(Window.partitionBy("o_custkey")).alias("some"), F.bool_and(F.col("o_orderstatus") == "F").over(Window.partitionBy("o_custkey")).alias("every")), "SELECT o_orderkey, bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS some, bool_and(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS every FROM orders"),
     "WIN7_last_of_group": (lambda s, d: orders(s, d).groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("last")), "SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS last FROM orders GROUP BY 1"),
-    "WIN8_group_index": (lambda s, d: part(s, d).select("p_partkey", F.dense_rank().over(Window.orderBy("p_brand")).alias("g")), "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS g FROM part"),
+    "WIN8_group_index": (lambda s, d: part(s, d).select("p_partkey", "p_brand").join(numbered(part(s, d).select("p_brand").distinct(), [F.col("p_brand")], "g"), "p_brand").select("p_partkey", F.col("g").cast("int").alias("g")), "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS g FROM part"),
     "WIN9_two_of_group": (lambda s, d: orders(s, d).withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n <= 2").select("o_orderkey"), "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2"),
     "WIN10_first_row_override": (win10, "SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AND o_orderstatus <> 'F' THEN o_custkey WHEN o_orderstatus = 'F' THEN o_orderkey END AS id FROM orders"),
     "SRT1_sort": (lambda s, d: part(s, d).select("p_brand", "p_partkey").orderBy(F.col("p_brand").desc(), F.asc_nulls_last("p_partkey")), "SELECT p_brand, p_partkey FROM part ORDER BY p_brand DESC, p_partkey"),
@@ -193,14 +221,10 @@ QUERIES = {
     "SET3_intersect": (lambda s, d: part(s, d).select(F.col("p_size").alias("k")).intersect(supplier(s, d).select(F.col("s_nationkey").alias("k"))), "SELECT p_size AS k FROM part INTERSECT SELECT s_nationkey FROM supplier"),
     "SET4_replace_by_key": (set4, "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN upper(n_name) ELSE n_name END AS n_name FROM nation"),
     "SET5_cached_missing": (set5, "SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'cached' ELSE 'missing' END AS state FROM customer"),
-    "PRJ8_gather": (lambda s, d: part(s, d).where("p_partkey < 100").select("p_partkey", F.explode(F.array(*[(F.col("p_partkey") + k).alias(f"n{k}") for k in (-1, 1, 64, -64)])).alias("near")), "SELECT p_partkey, unnest([p_partkey - 1, p_partkey + 1, p_partkey + 64, p_partkey - 64]) AS near FROM part WHERE p_partkey < 100"),
+    "PRJ8_gather": (lambda s, d: part(s, d).select("p_partkey", F.explode(F.array(*[(F.col("p_partkey") + k).alias(f"n{k}") for k in (-1, 1, 64, -64)])).alias("near")), "SELECT p_partkey, unnest([p_partkey - 1, p_partkey + 1, p_partkey + 64, p_partkey - 64]) AS near FROM part"),
     "JN3_differently_named": (lambda s, d: supplier(s, d).join(nation(s, d), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name"), "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"),
-    "JN12_zone_of_points": (lambda s, d: events(s, d).select("event_id", F.col("user_id").alias("p_partkey")).join(part(s, d).select("p_partkey", "p_brand"), "p_partkey").select("event_id", "p_brand"), "SELECT event_id, p_brand FROM events JOIN part ON user_id = p_partkey"),
-    "JN16_cells_in_zones": (lambda s, d: lineitem(s, d).join(part(s, d).where("p_size < 5").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").groupBy("l_partkey").agg(F.count("*").alias("n")), "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY 1"),
-    "JN17_positions": (lambda s, d: part(s, d).select("p_partkey", "p_brand").join(part(s, d).select("p_brand").distinct().select("p_brand", F.row_number().over(Window.orderBy("p_brand")).alias("place")), "p_brand").select("p_partkey", "place"), "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS place FROM part"),
+    "JN17_positions": (lambda s, d: part(s, d).select("p_partkey", "p_brand").join(numbered(part(s, d).select("p_brand").distinct(), [F.col("p_brand")], "place"), "p_brand").select("p_partkey", F.col("place").cast("int").alias("place")), "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS place FROM part"),
     "WIN5_sequence": (lambda s, d: part(s, d).select("p_partkey", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("n")), "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS INTEGER) AS n FROM part"),
-    "RAS38_rasterise_numeric": (lambda s, d: customer(s, d).groupBy(F.floor(F.col("c_custkey") / 37).alias("row"), F.pmod("c_custkey", F.lit(8)).alias("col")).agg(F.max_by("c_acctbal", "c_custkey").alias("value")), 'SELECT CAST(floor(c_custkey / 37) AS BIGINT) AS "row", c_custkey % 8 AS col, max_by(c_acctbal, c_custkey) AS value FROM customer GROUP BY 1, 2'),
     "RAS40_categories_long": (lambda s, d: lineitem(s, d).groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n")), "SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2"),
-    "VEC1_buffer": (lambda s, d: nearest_within(points(customer(s, d), "c_custkey", "c_acctbal"), points(supplier(s, d), "s_suppkey", "s_acctbal"), 25.0).where("near_id IS NOT NULL").select("id"), "SELECT DISTINCT c_custkey AS id FROM customer, supplier WHERE pow((c_custkey * 37) % 1000 - (s_suppkey * 37) % 1000, 2) + pow(round(abs(c_acctbal)) % 1000 - round(abs(s_acctbal)) % 1000, 2) <= 625"),
     "ANA6_design_matrix": (lambda s, d: part(s, d).select("p_partkey", "p_size").join(lineitem(s, d).groupBy("l_partkey").pivot("l_returnflag", ["A", "R"]).agg(F.sum("l_quantity")).withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "left").fillna(0, ["A", "R"]).select("p_partkey", "p_size", F.col("A").alias("rf_a"), F.col("R").alias("rf_r")), "SELECT p_partkey, p_size, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS rf_a, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS rf_r FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2"),
 }

@@ -35,8 +35,8 @@ def chunks(spark, d):
 
 def by_chunk(aggregate):
     """Merges by zone; the pivot is the least mean of a zone's chunks, found on the rows that the merge groups anyway."""
-    one = Window.partitionBy("link_id")
-    return lambda s, d: chunks(s, d).withColumns({"p": F.min("m").over(one), "wp": F.min("wm").over(one)}).groupBy("link_id").agg(*aggregate())
+    one = lambda: Window.partitionBy("link_id")
+    return lambda s, d: chunks(s, d).withColumns({"p": F.min("m").over(one()), "wp": F.min("wm").over(one())}).groupBy("link_id").agg(*aggregate())
 
 
 def flagship(spark, d):

@@ -76,6 +76,15 @@ class Dataset:
             self.spark.createDataFrame([(name, kind)], "layer_name string, data_type string").coalesce(1).write.mode("append").parquet(f"{self.root}/{CATALOG}")
         return self.table(name)
 
+    def register(self, entries: list[tuple[str, str]]) -> None:
+        """List layers (name, kind) that are, or are to be, written below the root."""
+        if bad := [k for _, k in entries if k not in KINDS]:
+            raise ValueError(f"a layer is one of {KINDS}, not {bad}")
+        known = {n for n, _ in self._entries()}
+        new = [e for e in entries if e[0] not in known]
+        if new:
+            self.spark.createDataFrame(new, "layer_name string, data_type string").coalesce(1).write.mode("append").parquet(f"{self.root}/{CATALOG}")
+
     def replace(self, name: str, new: DataFrame, keys: list[str]) -> DataFrame:
         """Rows of a layer replaced by key; the result is saved in the shared folder before the layer is overwritten."""
         from headwater.functions.steps import saved

@@ -51,7 +51,7 @@ CHUNK, CACHE, PARTS, FAN = 1 << 15, 400_000, 32, 64
 SHAPES = {"context": (len(OFFSETS), SIZE, WIDTH), "classes": (CLASSES, WIDTH), "class_bias": (CLASSES,), "members": (CLASSES, MEMBERS, WIDTH), "member_bias": (CLASSES, MEMBERS)}
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct lower-case words of ``texts``, the place of each word among them, and the number of words of each text; null is an empty text."""
     split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat = split.flatten()
@@ -59,7 +59,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     bounds = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
     sizes = np.diff(np.append(0, np.cumsum(real))[bounds]) if len(split) else np.zeros(0, np.int64)
     coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), sizes
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), sizes
 
 
 class Numbers(dict):
@@ -87,7 +87,7 @@ class Numbers(dict):
         if len(self) > len(self.words) + CACHE:
             self.reset()
         distinct, which, sizes = words_of(texts)
-        at = np.fromiter(map(self.__getitem__, distinct.to_pylist()), np.int64, len(distinct))[which]
+        at = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[which]
         out = np.zeros(len(which) + REACH * (len(sizes) + 1), np.int64)
         out[places(sizes)] = np.array(self.numbers)[at]
         return out, sizes, np.array(self.hashes)[at]
@@ -134,7 +134,7 @@ class Network:
             of_class, of_member = seen[some] % CLASSES, seen[some] // CLASSES
             z = h @ self.classes.T + self.class_bias
             got = z[np.arange(len(some)), of_class] - _log_sum(z)
-            order = np.argsort(of_class, kind="stable")
+            order = np.argsort(of_class.astype(np.uint8), kind="stable")
             bounds = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
             for c in range(CLASSES):
                 own = order[bounds[c] : bounds[c + 1]]
@@ -146,7 +146,7 @@ class Network:
 
     def gradients(self, seen: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         """Of the summed log-probabilities of the words at ``at``, by parameter."""
-        at = at[np.argsort(seen[at] % CLASSES, kind="stable")]
+        at = at[np.argsort((seen[at] % CLASSES).astype(np.uint8), kind="stable")]
         h = self.hidden(seen, at)
         of_class, of_member = seen[at] % CLASSES, seen[at] // CLASSES
         g = {n: np.zeros(s, h.dtype) for n, s in SHAPES.items()}
@@ -161,10 +161,12 @@ class Network:
                 g["members"][c], g["member_bias"][c] = d.T @ h[lo:hi], d.sum(axis=0)
                 back[lo:hi] += d @ self.members[c]
         back *= 1 - h * h
-        columns = np.arange(WIDTH)
         for k, o in enumerate(OFFSETS):
-            spot = (seen[at + o][:, None] * WIDTH + columns).ravel()
-            g["context"][k] = np.bincount(spot, back.ravel(), SIZE * WIDTH).reshape(SIZE, WIDTH)
+            word = seen[at + o].astype(np.uint16)
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            g["context"][k][word[first]] = np.add.reduceat(back[order], first, axis=0)
         return g
 
     def train(self, seen: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray]) -> None:
@@ -208,7 +210,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for some in portions(batch.column(0)):
                 distinct, which, _ = words_of(some)
-                for word, n in zip(distinct.to_pylist(), np.bincount(which, minlength=len(distinct)).tolist()):
+                for word, n in zip(distinct, np.bincount(which, minlength=len(distinct)).tolist()):
                     counts[word] = counts.get(word, 0) + n
                 if len(counts) > CACHE:
                     yield rows()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from headwater.plans import network, relational, terrain, zonal
+from headwater.plans import datasets, network, relational, terrain, zonal
 
-_MODULES = (relational, network, zonal, terrain)
+_MODULES = (relational, network, zonal, terrain, datasets)
 
 QUERIES = {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}

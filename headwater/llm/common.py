@@ -70,3 +70,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     use_checkpoints(df.sparkSession)
     make_importable(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect what nothing refers to any more, so that Spark's cleaner drops old shuffles and broadcasts at once.
+
+    Left to itself, a driver with a large heap keeps their files and its own memory for long.
+    """
+    spark._jvm.System.gc()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm.common import checkpointed as saved
+from headwater.llm.common import let_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where(F.col("a") != F.col("b")).select("a", "b"))
     labels = None
     while True:
+        let_go(edges.sparkSession)
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
         up = saved(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")))
         while True:

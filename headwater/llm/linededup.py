@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.llm.common import checkpointed as saved
+from headwater.llm.common import let_go
 
 #: Words that a run holds at least to count as a repeat.
 WORDS = 50
@@ -74,6 +75,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     at = places.select(F.col("doc_id").alias("of"), F.col("mark").alias("key"), F.col("spot").alias("here"))
     met = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("mark")) & (F.col("here") == F.col("spot"))
     # saved, so that the aggregate below deals its rows anew: by fingerprint alone a common line is one task's work
+    let_go(docs.sparkSession)
     extended = saved(windows.join(at, met, "left_semi"))
     first = F.min(F.struct("doc_id", "mark", "line", "end")).alias("first")
     known = saved(extended.groupBy("print", "whole").agg(F.count("*").alias("n"), first).where("n > 1").select("print", "whole", "first"))

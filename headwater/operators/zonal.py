@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions.stats import NUMERIC, WEIGHTED, numeric_partials, weighted_mean, weighted_partials
+from headwater.functions.steps import saved
 
 
 def zone_partials(cells: DataFrame, zone: str, numeric: list[str], categories: dict[str, list], weights: list[str]) -> DataFrame:
@@ -63,6 +64,20 @@ def merge_over(pairs: DataFrame, partials: DataFrame, zone: str, numeric: list[s
     return joined.groupBy(F.col("destination").alias("link_id")).agg(*[c.alias(n) for n, c in out.items()])
 
 
+def summarise(pairs: DataFrame, cells: DataFrame, zone: str, numeric: list[str], categories: dict[str, list] | None = None, weights: list[str] | None = None, stats: tuple[str, ...] = ("mean", "sd", "min", "max", "sum"), quantiles: tuple[float, ...] = ()) -> DataFrame:
+    """Summaries of catchments by the names of statistics; ``median`` and ``quantiles`` need the cells, all others only the zones' partials."""
+    unknown = [s for s in stats if s not in NUMERIC and s != "median"]
+    if unknown:
+        raise ValueError(f"no statistic {', '.join(unknown)}; there are {', '.join(NUMERIC)}, median")
+    categories, weights = categories or {}, weights or []
+    partials = saved(zone_partials(cells, zone, numeric, categories, weights))
+    out = merge_over(pairs, partials, zone, numeric, categories, weights, stats)
+    at = sorted({*quantiles, *([0.5] if "median" in stats else [])})
+    for x in numeric if at else []:
+        out = out.join(catchment_quantiles(pairs, cells, zone, x, at), "link_id", "left")
+    return out
+
+
 def catchment_quantiles(pairs: DataFrame, cells: DataFrame, zone: str, x: str, at: list[float]) -> DataFrame:
     """Exact quantiles over whole catchments, which no merge of partials gives: values are counted by zone first."""
     if any(not 0 <= q <= 1 for q in at):

@@ -12,7 +12,7 @@ from headwater.operators import distance, export, terrain, weights, zonal
 from headwater.plans.network import AREA, CL, FCON, ana3
 from headwater.plans.terrain import NEAREST
 from headwater.plans.views import CELLS, GRID, LINKS, cells, grid, links, table
-from headwater.plans.zonal import CATCH, FLAGS, r
+from headwater.plans.zonal import CATCH, FLAGS, r, single
 from headwater.sources.dataset import Dataset
 
 PARTS = ["A", "N", "R"]
@@ -104,6 +104,12 @@ def own_weight(name, f=None):
     return query
 
 
+def named_statistics(spark, d):
+    out = zonal.summarise(distance.link_closure(links(spark, d)), cells(spark, d), "link_id", ["num_a", "num_b"], stats=("mean", "variance", "median"))
+    as_compared = lambda c: single(c, F.col(c)) if c.endswith("variance") else r(c, F.col(c), 9 if c.endswith("mean") else 7)
+    return out.select("link_id", *[as_compared(c) for c in out.columns if c != "link_id"])
+
+
 def exported(spark, d):
     some = links(spark, d)
     observed = some.where("site_id IS NOT NULL").select("site_id", "link_id")
@@ -143,6 +149,7 @@ QUERIES = {
     "WGT5_lumped": (own_weight("lumped"), WEIGHED.format("1.0::DOUBLE")),
     "UDF1_own_function": (own_weight("iFLS", lambda x: F.exp(-x / 10000)), WEIGHED.format("exp(-dist / 10000)")),
     "UDF3_weighting_registry": (lambda s, d: s.createDataFrame([(n,) for n in WEIGHTS], "scheme string"), "SELECT unnest(['lumped', 'iFLS', 'HAiFLS', 'iFLO', 'HAiFLO']) AS scheme"),
+    "UDF2_named_statistics": (named_statistics, CATCH + " SELECT destination AS link_id, " + ", ".join(f"round(avg({x}), 9) AS {x}_lumped_mean, CAST(CAST(var_samp({x}) AS FLOAT) AS DOUBLE) AS {x}_lumped_variance, round(median({x}), 7) AS {x}_lumped_median" for x in ("num_a", "num_b")) + " FROM z GROUP BY 1"),
     "RAS10_sloped_burn": (sloped, f"{NEAREST} SELECT cell_id, round(elev - CASE WHEN dist <= 8 THEN (8 - dist) / 8 * 2 ELSE 0 END, 6) AS burned FROM ed"),
     "ANA4_clusters": (lambda s, d: export.cut_tree(ana3(s, d).withColumnRenamed("manhattan", "distance"), 4), None),
     "ANA8_forest_folds": (lambda s, d: export.forest_folds(links(s, d), "sbbsn_area", ["link_lngth", "us_len"], "link_id"), None),

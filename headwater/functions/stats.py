@@ -41,29 +41,34 @@ def merged_mean(n: str, mean: str) -> Column:
     return F.sum(both * F.col(mean)) / F.nullif(F.sum(both), F.lit(0.0))
 
 
-def merged_var_pop(n: str, mean: str, var: str, pivot: str) -> Column:
+def _about(pivot: str | None) -> Column:
+    return F.coalesce(F.col(pivot), F.lit(0.0)) if pivot else F.lit(0.0)
+
+
+def merged_var_pop(n: str, mean: str, var: str, pivot: str | None = None) -> Column:
     """Sum of n (v + (m - mu)^2) over sum of n, with mu the merged mean.
 
-    ``pivot`` is a column that is constant in a group, the mean of one of its zones.
+    ``pivot`` is a column that is constant in a group, the mean of one of its
+    zones; without it, means far from 0 lose digits.
     """
     k = F.when(F.col(n).isNotNull() & F.col(mean).isNotNull() & F.col(var).isNotNull(), F.col(n))
-    total, away = F.nullif(F.sum(k), F.lit(0.0)), F.col(mean) - F.coalesce(F.col(pivot), F.lit(0.0))
+    total, away = F.nullif(F.sum(k), F.lit(0.0)), F.col(mean) - _about(pivot)
     shift = F.sum(k * away) / total
     found = F.sum(k * (F.col(var) + away * away)) / total - shift * shift
     return F.when(found < 0, 0.0).otherwise(found)  # greatest() would turn a null into 0
 
 
-def merged_var_samp(n: str, mean: str, var: str, pivot: str) -> Column:
+def merged_var_samp(n: str, mean: str, var: str, pivot: str | None = None) -> Column:
     """The population variance times N / (N - 1); null where N is at most 1."""
     total = F.sum(F.when(F.col(n).isNotNull() & F.col(mean).isNotNull() & F.col(var).isNotNull(), F.col(n)))
     return F.when(total > 1, merged_var_pop(n, mean, var, pivot) * total / (total - 1))
 
 
-def compat_var_samp(n: str, mean: str, var_samp: str, pivot: str) -> Column:
+def compat_var_samp(n: str, mean: str, var_samp: str, pivot: str | None = None) -> Column:
     """The older convention: partial variances are sample variances yet rescaled by n / (n - 1), and zones of one cell are left out."""
     some = F.col(n) > 1
     k = F.when(some & F.col(mean).isNotNull() & F.col(var_samp).isNotNull(), F.col(n))
-    total, away = F.nullif(F.sum(k), F.lit(0.0)), F.col(mean) - F.coalesce(F.col(pivot), F.lit(0.0))
+    total, away = F.nullif(F.sum(k), F.lit(0.0)), F.col(mean) - _about(pivot)
     shift = F.sum(k * away) / total
     inside = F.sum(F.when(some, (k - 1) * F.col(var_samp) * k / F.nullif(k - 1, F.lit(0))))
     return (inside + F.sum(k * away * away) - total * shift * shift) / F.nullif(total - 1, F.lit(0.0))

@@ -45,7 +45,7 @@ def test_distances(spark):
     at = {(r.origin, r.destination): r for r in connected.collect()}
     assert at[3, 0].directed_path_length == 13 + 11 + 10
     assert at[3, 1].prop_shared_catchment == pytest.approx(1 / 3)
-    apart = {(r.origin, r.destination): r.undirected_path_length for r in distance.flow_unconnected(connected).collect()}
+    apart = {(r.origin, r.destination): r.undirected_path_length for r in distance.flow_unconnected(connected, links).collect()}
     assert apart[3, 4] == (13 + 11) + (14 + 11) and apart[3, 5] == apart[5, 3]
     assert not set(apart) & set(at)
     shares = {r.link_id: r for r in distance.additive_function(links).collect()}

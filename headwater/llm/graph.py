@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import checkpointed as saved
-from headwater.llm.common import let_go
+from headwater.llm.common import checkpointed, let_go
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, saved: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b); root is the smallest node that it reaches.
 
     Each round lets every node point at its smallest neighbour, shortens the
     pointers to their trees' roots by doubling, and contracts the edges to the
     roots.  A round at least halves the nodes that still have edges.  Steps are
     checkpointed, so each join has plain exchanges on both sides and adaptive
-    execution can split a hub's rows.  Null ends and loops are ignored.
+    execution can split a hub's rows; ``saved`` is what checkpoints them.  Null
+    ends and loops are ignored.
     """
     edges = saved(edges.where(F.col("a") != F.col("b")).select("a", "b"))
     labels = None

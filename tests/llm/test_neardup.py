@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from headwater.llm import neardup
 from headwater.llm.simhash import RADIUS, fingerprint
 
 
@@ -43,3 +44,17 @@ def test_stage_joins_at_four_fifths(spark):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, "").collect())
     assert got == sorted({root(i) for i in texts})
+
+
+def test_driver_lets_go_after_each_step(spark, monkeypatch):
+    """What a step leaves in the driver goes before the next; what the second round links are groups of the first."""
+    steps, ends = [], []
+    real = neardup.components
+    monkeypatch.setattr(neardup, "let_go", lambda session: steps.append(1))
+    monkeypatch.setattr(neardup, "components", lambda edges, saved: (ends.append((saved is neardup.saved, edges.count())), real(edges, saved))[1])
+    texts = {i: " ".join(f"w{k}" for k in range(200) if k != i) for i in range(3)}
+    texts[3] = " ".join(f"w{k}" for k in range(25, 200))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.doc_id for r in neardup.one_of_each(frame).collect()] == [0]
+    assert all(own for own, _ in ends) and len(steps) > 10
+    assert len(ends) == 1 or ends[1][1] < ends[0][1]

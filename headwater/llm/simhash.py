@@ -38,6 +38,15 @@ HEAVY = 1 << 20
 PAIRS, VALUES, FAN = 1 << 17, 1 << 16, 64
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned 64-bit ``hashes``."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of a text's shingles of four words; 0 for a text without words."""
     from xxhash import xxh64_intdigest
@@ -51,13 +60,7 @@ def fingerprint(text: str | None) -> int:
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
     starts = [0, *(g + 1 for g in gaps)]
     ends = [*gaps[WORDS - 1 :], len(joined)]
-    n = len(ends)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(ends)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,10 +95,10 @@ def budgets() -> np.ndarray:
 
 
 class Links:
-    """Union-find over positions, with labels that can be tested for whole ranges."""
+    """Union-find over positions, with labels that can be tested for whole ranges; ``pairs`` are those that joined two components."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up, self.pairs = list(range(n)), []
         self.renew()
 
     def root(self, i: int) -> int:
@@ -108,10 +111,11 @@ class Links:
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         fresh = self.label[a] != self.label[b]
         changed = False
-        for i, j in zip(a[fresh].tolist(), b[fresh].tolist()):
-            i, j = self.root(i), self.root(j)
+        for x, y in zip(a[fresh].tolist(), b[fresh].tolist()):
+            i, j = self.root(x), self.root(y)
             if i != j:
                 self.up[max(i, j)] = min(i, j)
+                self.pairs.append((x, y))
                 changed = True
         if changed:
             self.renew()
@@ -202,7 +206,7 @@ def spanning(values: np.ndarray, turn: np.ndarray, links: Links) -> pa.RecordBat
 
 
 def join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by turn, block, sub, guest and value; yields links."""
+    """Rows sorted by turn, block, sub, guest and value; yields links, of ids within reach of each other if rows have one."""
 
     def solve(table: np.ndarray) -> pa.RecordBatch:
         keys, guest, values = table[:, :3], table[:, 3], table[:, 4].view(np.uint64)
@@ -216,7 +220,13 @@ def join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         roots = [(s, h, s, h, d, 0) for s, h, d in zip(starts.tolist(), homes.tolist(), deep.tolist())]
         roots += [(s, h, h, e, d, 1) for s, h, e, d in zip(starts.tolist(), homes.tolist(), stops.tolist(), deep.tolist()) if h < e]
         links = Links(len(table))
+        if table.shape[1] > 5:
+            same = np.flatnonzero((table[1:, :5] == table[:-1, :5]).all(axis=1))
+            links.join(same, same + 1)
         trie_join(values, roots, links)
+        if table.shape[1] > 5:
+            a, b = table[np.array(links.pairs, np.int64).reshape(-1, 2).T, 5]
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
         return spanning(values, keys[:, 0], links)
 
     held: list[np.ndarray] = []
@@ -239,17 +249,22 @@ def join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def links(values: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """``a, b``: links that connect all distinct fingerprints of ``values`` (fp) within reach of each other."""
+    """``a, b``: links that connect all distinct fingerprints of ``values`` (fp) within reach of each other.
+
+    Where ``values`` have an ``id``, links are pairs of ids whose own fingerprints
+    are within reach, which fingerprints may share.
+    """
+    with_id = [c for c in ("id",) if c in values.columns]
     turns = []
     for turn in range(len(BLOCKS)):
         shift = sum(BLOCKS[:turn])
         v = F.col("fp") if not shift else F.shiftleft("fp", shift).bitwiseOR(F.shiftrightunsigned("fp", 64 - shift))
         turns.append(F.struct(F.lit(turn).cast("long").alias("turn"), F.shiftrightunsigned(v, 64 - BLOCKS[turn]).alias("block"), v.alias("v")))
-    keyed = values.select(F.explode(F.array(*turns)).alias("x")).select("x.*")
+    keyed = values.select(*with_id, F.explode(F.array(*turns)).alias("x")).select("x.*", *with_id)
     crowded = saved(keyed.groupBy("turn", "block").count().where(F.col("count") > heavy).select("turn", "block"))
-    columns = ["turn", "block", "sub", "guest", "v"]
+    columns = ["turn", "block", "sub", "guest", "v", *with_id]
     light = keyed.join(crowded, ["turn", "block"], "left_anti") if (some := not crowded.isEmpty()) else keyed
-    dealt = light.select("turn", "block", F.lit(-1).cast("long").alias("sub"), F.lit(0).cast("long").alias("guest"), "v")
+    dealt = light.select("turn", "block", F.lit(-1).cast("long").alias("sub"), F.lit(0).cast("long").alias("guest"), "v", *with_id)
     if some:
         crowd = keyed.join(crowded, ["turn", "block"], "left_semi")
         for turn in range(len(BLOCKS)):
@@ -257,8 +272,8 @@ def links(values: DataFrame, heavy: int = HEAVY) -> DataFrame:
             second = F.shiftrightunsigned("v", 64 - width - then).bitwiseAND(F.lit((1 << then) - 1))
             spots = [F.struct(second.alias("sub"), F.lit(0).cast("long").alias("guest"))]
             spots += [F.struct(second.bitwiseXOR(F.lit(1 << b)).alias("sub"), F.lit(1).cast("long").alias("guest")) for b in range(then)]
-            own = crowd.where(F.col("turn") == turn).select("turn", "block", "v", F.explode(F.array(*spots)).alias("s"))
-            dealt = dealt.union(own.select("turn", "block", "s.sub", "s.guest", "v"))
+            own = crowd.where(F.col("turn") == turn).select("turn", "block", "v", *with_id, F.explode(F.array(*spots)).alias("s"))
+            dealt = dealt.union(own.select("turn", "block", "s.sub", "s.guest", "v", *with_id))
     # unsigned order of the values: the sign bit is flipped for sorting
     dealt = dealt.repartition("turn", "block", "sub").sortWithinPartitions("turn", "block", "sub", "guest", F.col("v").bitwiseXOR(F.lit(-(1 << 63))))
     return dealt.select(*columns).mapInArrow(join_partition, "a long, b long")

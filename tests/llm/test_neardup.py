@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from headwater.llm import neardup
+from headwater.llm import neardup, simhash
 from headwater.llm.simhash import RADIUS, fingerprint
 
 
@@ -58,3 +58,22 @@ def test_driver_lets_go_after_each_step(spark, monkeypatch):
     assert [r.doc_id for r in neardup.one_of_each(frame).collect()] == [0]
     assert all(own for own, _ in ends) and len(steps) > 10
     assert len(ends) == 1 or ends[1][1] < ends[0][1]
+
+
+def test_stage_takes_pairs_from_the_trie(spark, monkeypatch):
+    """Near copies within the fingerprints' radius are found where bands propose nothing, and links hold for the exact similarity alone."""
+    rng = random.Random(5)
+    texts, sets = {}, {}
+    for i in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join([*words, "end"])
+    sets = {i: neardup.shingles(t) for i, t in texts.items()}
+    reach = {i for i in range(0, 60, 2) if (simhash.majority(sets[i]) ^ simhash.majority(sets[i + 1])).bit_count() <= RADIUS}
+    assert len(reach) > 20
+    monkeypatch.setattr(neardup, "proposed", lambda members, spanning: spark.createDataFrame([], "a long, b long, of long, to long"))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in neardup.one_of_each(frame).collect()} == set(texts) - {i + 1 for i in reach}
+    # one fingerprint for all: the trie proposes, the similarity refuses
+    values = spark.createDataFrame([(k, 1, 5) for k in range(40)], "key long, n long, fp long")
+    assert len({x for r in neardup.near(values).collect() for x in (r.a, r.b)}) == 40

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +79,13 @@ def let_go(spark: SparkSession) -> None:
     Left to itself, a driver with a large heap keeps their files and its own memory for long.
     """
     spark._jvm.System.gc()
+
+
+#: What drops the caches that operators keep in a Python worker from task to task.
+WORKER_CACHES: list[Callable[[], None]] = []
+
+
+def light_worker() -> None:
+    """Drop what earlier operators keep in this Python worker; Spark hands workers on from stage to stage."""
+    for drop in WORKER_CACHES:
+        drop()

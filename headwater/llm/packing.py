@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import saved
+from headwater.llm.common import WORKER_CACHES, saved
 
 MAX_LEN = 4096
 BLOCK = 1 << 19
@@ -174,6 +174,9 @@ def worker_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+WORKER_CACHES.append(worker_tokenizer.cache_clear)
+
+
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions of a stream (its start and end included) and their penalties."""
     total = len(ids)

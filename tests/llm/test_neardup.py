@@ -77,3 +77,18 @@ def test_stage_takes_pairs_from_the_trie(spark, monkeypatch):
     # one fingerprint for all: the trie proposes, the similarity refuses
     values = spark.createDataFrame([(k, 1, 5) for k in range(40)], "key long, n long, fp long")
     assert len({x for r in neardup.near(values).collect() for x in (r.a, r.b)}) == 40
+
+
+def test_batches_and_worker_caches(spark, monkeypatch):
+    """The stage hands small batches to Python workers, lets the driver collect its garbage after each step, and leaves the session as it was."""
+    from headwater.llm import common
+    from headwater.llm.packing import worker_tokenizer
+
+    before, seen, steps = {k: spark.conf.get(k) for k in neardup.BATCH}, [], []
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: (seen.append({k: spark.conf.get(k) for k in neardup.BATCH}), common.checkpointed(df))[1])
+    monkeypatch.setattr(neardup, "let_go", lambda session: steps.append(1))
+    frame = spark.createDataFrame([(i, f"a b c d e f{i % 7}") for i in range(50)], "doc_id long, text string")
+    assert neardup.one_of_each(frame).count() == 7
+    assert len(steps) >= len(seen) > 10 and all(x == neardup.BATCH for x in seen)
+    assert {k: spark.conf.get(k) for k in neardup.BATCH} == before
+    assert worker_tokenizer.cache_clear in common.WORKER_CACHES

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from headwater.operators.relational import split_cached
 
 
-def resolve_targets(links: DataFrame, site_ids: list | None = None, link_ids: list | None = None) -> DataFrame:
-    """``link_id`` of the sites and links named, distinct; of all links if none is."""
-    if not site_ids and not link_ids:
+def resolve_targets(links: DataFrame, site_ids: list | DataFrame | None = None, link_ids: list | DataFrame | None = None) -> DataFrame:
+    """``link_id`` of the sites and links named, in a list or a table of one column, distinct; of all links if none is."""
+    named = lambda c, ids: links.join(ids.toDF(c), c, "left_semi") if isinstance(ids, DataFrame) else links.where(F.col(c).isin(ids))
+    chosen = [named(c, ids).select("link_id") for c, ids in (("site_id", site_ids), ("link_id", link_ids)) if isinstance(ids, DataFrame) or ids]
+    if not chosen:
         return links.select("link_id").distinct()
-    chosen = [links.where(F.col(c).isin(ids)).select("link_id") for c, ids in (("site_id", site_ids), ("link_id", link_ids)) if ids]
     return (chosen[0].union(chosen[1]) if len(chosen) > 1 else chosen[0]).distinct()
 
 

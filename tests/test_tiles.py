@@ -33,3 +33,33 @@ def test_f19_pointers_across_tiles(spark):
         drop, k, to = max(around, default=(0, 0, None))
         want[(r << 20) + c] = (-k, to) if drop > 0 else (0, None)
     assert {r.cell_id: (r.d8, r.ds) for r in found.collect()} == want
+
+
+def test_f15_filling_across_tiles(spark):
+    z = surface(4, 9)
+    found = terrain.fill_depressions(cells_of(spark, z))
+    edge = {p for p in z if sum((p[0] + a, p[1] + b) in z for a, b, _ in terrain.D8) < 8}
+    want = {p: v if p in edge else math.inf for p, v in z.items()}
+    while (new := {(r, c): v if (r, c) in edge else max(z[r, c], min(want[r + a, c + b] for a, b, _ in terrain.D8)) for (r, c), v in want.items()}) != want:
+        want = new
+    assert {r.cell_id: r.filled for r in found.collect()} == {(r << 20) + c: v for (r, c), v in want.items()}
+
+
+def test_f14_rounds_of_breaching_double(spark):
+    """A ditch of 60 cells below one rim cell is cut in seven rounds at most, to the level of its deepest cell upstream."""
+    z = {(r, c): 9.0 if r == 1 else 20.0 for r in range(3) for c in range(66)} | {(1, c): 3.0 - c / 100 for c in range(2, 62)}
+    got = {r.cell_id: r.breached for r in terrain.breach_depressions(cells_of(spark, z), rounds=8).collect()}
+    filled = {r.cell_id: r.filled for r in terrain.fill_depressions(cells_of(spark, z)).collect()}
+    way = {}
+    for (r, c) in z:
+        around = [(filled[(r + a << 20) + c + b], (r + a << 20) + c + b) for a, b, _ in terrain.D8 if (r + a, c + b) in z]
+        low = [x for x in around if x[0] <= filled[(r << 20) + c]]
+        if low:
+            way[(r << 20) + c] = min(low)[1]
+    want = {(r << 20) + c: v for (r, c), v in z.items()}
+    start = dict(want)
+    for _ in range(200):
+        for k, to in way.items():
+            if filled[to] > start[to]:
+                want[to] = min(want[to], want[k])
+    assert got == want and sum(want[k] < start[k] for k in want) > 20

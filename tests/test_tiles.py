@@ -63,3 +63,21 @@ def test_f14_rounds_of_breaching_double(spark):
             if filled[to] > start[to]:
                 want[to] = min(want[to], want[k])
     assert got == want and sum(want[k] < start[k] for k in want) > 20
+
+
+def test_f20_regions_across_tiles(spark):
+    """Parts of equal names over four tiles, in plain Python and by tables of no more than the borders."""
+    from headwater.operators import geometry
+
+    z = {p: "ab"[int(v)] for p, v in surface(9, 2).items()}
+    cells = spark.createDataFrame([((r << 20) + c, r, c, v) for (r, c), v in z.items()], "cell_id long, row long, col long, v string")
+    label = {}
+    for p in sorted(z, key=lambda p: (p[0] << 20) + p[1]):
+        todo = [] if p in label else [p]
+        while todo:
+            q = todo.pop()
+            label[q] = p
+            todo += [n for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (n := (q[0] + a, q[1] + b)) in z and n not in label and z[n] == z[q]]
+    want = {(r << 20) + c: (a << 20) + b for (r, c), (a, b) in label.items()}
+    assert {r.cell_id: r.region for r in geometry.regions(cells, "v").collect()} == want
+    assert {r.cell_id: r.region for r in geometry.regions(cells.withColumn("v", F.ascii("v")), "v").collect()} == want
